@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import unicodedata
 
 import numpy as np
@@ -121,13 +122,16 @@ class Codec:
         self.index, self.strings = PairIndex(v), v["strings"]
         self.ids: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
+        # in lower-case ASCII texts the same pattern means this one
+        self.find_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in v["special"].items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            # capital sigma has one lower case here, whatever follows it
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        # capital sigma has one lower case here, whatever follows it
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.find(text.lower())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from branchspark.llm import bpe_codec, token_counts
+from branchspark.llm import bpe_codec, language_id, quality, token_counts
 from branchspark.llm.common import table
 
 
@@ -20,5 +20,45 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op10_bpe_codec": op10_bpe_codec}
-ORACLES: dict[str, str] = {}
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, quality.target_ids(table(spark, sf_dir, "labels")))
+    return quality.judge(docs, weights).drop("text")
+
+
+OP6_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as i from d),
+words as (select r, count(*) as n_words, sum(length(w)) as word_chars from w group by r),
+grams as (select r, i, w, lead(w, 1) over o as w2, lead(w, 2) over o as w3 from w window o as (partition by r order by i)),
+counted as (select r, i, count(*) over (partition by r, w, w2, w3) as c from grams where w3 is not null),
+repeats as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from counted where c > 1) group by r),
+lines as (select r, unnest(string_split(text, chr(10))) as line from d),
+dups as (select r, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+t as (select r, unnest(regexp_extract_all(text, '[0-9A-Za-z_\x80-\x{{10FFFF}}]+|[!-/:-@\[-^`{{-~]+')) as t, generate_subscripts(regexp_extract_all(text, '[0-9A-Za-z_\x80-\x{{10FFFF}}]+|[!-/:-@\[-^`{{-~]+'), 1) as i from d),
+h as (select r, i, ('0x' || substr(md5(t), 1, 15))::bigint as h from t),
+h2 as (select r, h, lead(h) over (partition by r order by i) as n from h),
+b as (select r, h % {quality.BUCKETS} as b from h2 union all select r, (h % 1000003 * 1009 + n % 999983) % {quality.BUCKETS} from h2 where n is not null),
+trusted as (select doc_id from labels where doc_id is not null group by doc_id having min(quality) = 1 order by md5(doc_id::varchar), doc_id limit {quality.TARGET_BOUND}),
+sums as (select b, count(*) as raw, count(*) filter (doc_id in (select doc_id from trusted)) as good from b join d using (r) group by b),
+weights as (select b, round(ln((good + 1) / (sum(good) over () + {quality.BUCKETS}) / ((raw + 1) / (sum(raw) over () + {quality.BUCKETS}))) * 1e6)::bigint as weight from sums),
+scores as (select r, floor(sum(weight)::double / count(*))::bigint as llr_micros from b join weights using (b) group by r),
+base as (select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(dups.n, 0)::bigint as n_dup_lines, coalesce(repeats.n, 0)::bigint as n_repeat_words, coalesce(llr_micros, 0)::bigint as llr_micros
+  from d left join words using (r) left join repeats using (r) left join dups using (r) left join scores using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and llr_micros >= {quality.THRESHOLD} as kept
+from base
+"""
+
+
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    profiles = language_id.learn(docs.where(~held_out))
+    said = language_id.predict(docs.select("doc_id", "text"), profiles)
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op10_bpe_codec": op10_bpe_codec}
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
