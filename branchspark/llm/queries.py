@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from branchspark.llm import bpe_codec, language_id, quality, token_counts
-from branchspark.llm.common import table
+from branchspark.llm import bpe_codec, language_id, quality, token_counts, url_filters, warc
+from branchspark.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 
 def op1_token_counts(spark, sf_dir):
@@ -60,5 +60,66 @@ def op7_language_id(spark, sf_dir):
     return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op10_bpe_codec": op10_bpe_codec}
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+def op8_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _duck_rule(host: str, path: str) -> str:
+    fits = []
+    for _, rule in sorted(url_filters.RULES, key=lambda r: (-len(r[1]), r[0] != "allow", r[1])):
+        h, p = rule.split("/", 1)
+        fits.append(f"when ({host} = '{h}' or {host} like '%.{h}') and starts_with({path}, '/{p}') then '{rule}'")
+    return f"case {' '.join(fits)} end"
+
+
+def _duck_action(rule: str) -> str:
+    return f"case {rule} {' '.join(f"when '{r}' then '{a}'" for a, r in url_filters.RULES)} end"
+
+
+def _duck_lower(x: str) -> str:
+    return f"translate({x}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
+
+
+def _duck_node(url: str) -> str:
+    host = _duck_lower(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")
+    return f"case when {host} <> '' then {host} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) end"
+
+
+OP8_SQL = rf"""
+with recursive p as (select page_id, url, html, coalesce({_duck_lower("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, {_duck_node("url")} as node from pages),
+ruled as (select *, {_duck_rule("host", "path")} as rule from p),
+links as (select url, node as src, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as link from p
+  union all select url, node, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) from p),
+full_links as (select src, case when contains(link, '://') then link when starts_with(link, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+  when starts_with(link, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+  else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || case when regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) = '' then '/' else regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1) end || link end as u
+  from (select url, src, replace(link, '&amp;', '&') as link from links where link <> '')),
+edges as (select distinct src, {_duck_node("u")} as dst from full_links),
+both_ways as (select src, dst from edges where src is not null and dst is not null and src <> dst union select dst, src from edges where src is not null and dst is not null and src <> dst),
+reach as (select src, dst from both_ways union select r.src, b.dst from reach r join both_ways b on r.dst = b.src),
+member as (select src as node, dst as other from reach union select src, src from reach),
+said as (select node, min({_duck_action(_duck_rule("regexp_extract(other, '^([^/?]*)', 1)", "regexp_extract(other, '(?s)^[^/?]*([^?]*)', 1)"))}) as said from member group by node)
+select page_id, host, path, rule, coalesce({_duck_action("rule")}, said, 'allow') as verdict from ruled left join said using (node)
+"""
+
+
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+OP9_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p group by h),
+b as (select p.*, first, unhex(h)::bit::varchar as bits from p join f using (h))
+select page_id, n::bigint as payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int, 1) for i in range(32)], 'string_agg', '') as payload_digest,
+  case when page_id <> first then 'revisit' else 'response' end as record_type,
+  case when page_id <> first then first end as refers_to
+from b
+"""
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
+ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
