@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from branchspark.llm import bpe_codec, language_id, quality, token_counts, url_filters, warc
+from branchspark.llm import bpe_codec, contamination, language_id, quality, token_counts, url_filters, warc
 from branchspark.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 
@@ -121,5 +121,25 @@ from b
 """
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
-ORACLES: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
+def op3_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP3_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_duck_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_duck_lower("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),
+windows as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as win from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct n from windows),
+dw as (select r, n, i, array_to_string(w[i : i + n - 1], ' ') as win from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hits as (select r, i, n, item_id from dw join windows using (n, win)),
+hit_words as (select r, count(distinct p) as n_hit from (select distinct r, unnest(range(i, i + n)) as p from hits) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item_id::varchar as item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit_words using (r) left join items using (r)
+"""
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_decontamination": op3_decontamination, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
