@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from branchspark.llm import bpe_codec, contamination, language_id, quality, token_counts, url_filters, warc
+from branchspark.llm import bpe_codec, contamination, language_id, quality, secret_scan, token_counts, url_filters, warc
 from branchspark.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 
@@ -141,5 +141,41 @@ from d left join hit_words using (r) left join items using (r)
 """
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_decontamination": op3_decontamination, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
+def op4_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.listed(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def _duck(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _duck_matches(kind: str, pattern: str, group: int) -> str:
+    p = _duck(pattern)
+    return f"""select r, '{kind}' as kind, {secret_scan.KINDS.index(kind)} as rank, unnest(range(1, len(m) + 1)) as i, m[i] as found, g[i] as part,
+  coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint as start
+  from (select r, regexp_extract_all(text, {p}, 0) as m, regexp_extract_all(text, {p}, {group}) as g, string_split_regex(text, {p}) as gaps from d where regexp_matches(text, {p}))"""
+
+
+OP4_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+terms as (select {secret_scan.TERMS} as t),
+base as (select * from ({_duck_matches("assign", secret_scan.ASSIGN, 2)}) where length(part) >= 12
+  union all {_duck_matches("access", secret_scan.ACCESS, 0)} union all {_duck_matches("hex", secret_scan.HEX, 0)}),
+candidates as (select *, 3000000 as least from ({_duck_matches(*secret_scan.CLASSES[0][:2], 0)}) where not regexp_matches(found, {_duck(secret_scan.ALLOW)})
+  union all select *, 3800000 from ({_duck_matches(*secret_scan.CLASSES[1][:2], 0)}) where not regexp_matches(found, {_duck(secret_scan.ALLOW + "|" + secret_scan.ONLY_HEX)})),
+windows as (select r, kind, rank, start, found, least, substr(found, unnest(range(1, length(found) - 18)), 20) as w from candidates),
+chars as (select r, kind, rank, start, found, least, w, list_transform(range(1, 21), lambda i: w[i]) as c from windows),
+sums as (select r, kind, rank, start, found, least, list_sum(list_transform(list_distinct(c), lambda x: t[len(list_filter(c, lambda y: y = x)) + 1])) as s from chars, terms),
+entropy as (select r, kind, rank, start, found from sums group by r, kind, rank, start, found, least having {secret_scan.TERMS[20]} - min(s) >= 20 * least),
+said as (select r, kind, rank, start, start + length(found) as stop from base union all select r, kind, rank, start, start + length(found) from entropy),
+lists as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans from said group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join lists using (r)
+"""
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_decontamination": op3_decontamination, "op4_secret_scan": op4_secret_scan, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
