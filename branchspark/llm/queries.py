@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from branchspark.llm import bpe_codec, contamination, language_id, quality, secret_scan, token_counts, url_filters, warc
+from branchspark.llm import bpe_codec, contamination, language_id, near_dup, quality, secret_scan, token_counts, url_filters, warc
 from branchspark.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 
@@ -177,5 +177,23 @@ from d left join lists using (r)
 """
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_decontamination": op3_decontamination, "op4_secret_scan": op4_secret_scan, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_secret_scan": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
+def op5_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
+OP5_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_duck_lower("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by x, y),
+links as (select x, y from common join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+both_ways as (select x, y from links union select y, x from links),
+reach as (select x, y from both_ways union select r.x, b.y from reach r join both_ways b on r.y = b.x),
+least_of as (select x, min(y) as m from reach group by x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) as component_id, d.doc_id <= coalesce(m, d.doc_id) as kept
+from d left join n on n.doc_id = d.doc_id left join least_of on least_of.x = d.doc_id
+"""
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_decontamination": op3_decontamination, "op4_secret_scan": op4_secret_scan, "op5_near_duplicates": op5_near_duplicates, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_secret_scan": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
