@@ -1,70 +1,25 @@
-"""Shared helpers: tables, scratch storage that executors can lose, and word hashes."""
+"""Shared helpers: tables, broadcasts behind a count, and word hashes."""
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from branchspark.sources.scratch import cut, scratch_path
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: A table with at most this many rows of some tens of bytes may be broadcast.
 BROADCAST_ROWS = 100_000
 
-_scratch: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the
-    session. Only where that is unset (tests in local mode) an own folder is made."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(clear_scratch)
-    _scratch.append((spark, path))
-    return path
-
-
-def clear_scratch() -> None:
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM has gone already
-            return
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends in replicated storage,
-    so a lost executor costs its running tasks only, and the work above is done once."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
@@ -115,3 +70,4 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WordHash", "ascii_lower", "broadcast_if_small", "cut", "mix", "scratch_path", "shingle_hashes", "table"]
