@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from branchspark.llm import bpe_codec, contamination, language_id, near_dup, quality, secret_scan, token_counts, url_filters, warc
+from branchspark.llm import bpe_codec, contamination, language_id, lm_score, near_dup, quality, secret_scan, token_counts, url_filters, warc
 from branchspark.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 
@@ -195,5 +195,23 @@ from d left join n on n.doc_id = d.doc_id left join least_of on least_of.x = d.d
 """
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_decontamination": op3_decontamination, "op4_secret_scan": op4_secret_scan, "op5_near_duplicates": op5_near_duplicates, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_secret_scan": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
+def op2_lm_scores(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_duck_lower("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+t as (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as w from d),
+pairs as (select r, i, w, lag(w) over (partition by r order by i) as v from t),
+c1 as (select w, count(*) as c, round(ln(count(*)) * 1e6)::bigint as l from t group by w),
+c2 as (select v, w, count(*) as c, round(ln(count(*)) * 1e6)::bigint as l from pairs where v is not null group by v, w),
+n as (select round(ln(count(*)) * 1e6)::bigint as l from t),
+terms as (select r, case when c2.c >= {lm_score.MIN_COUNT} then c2.l - cv.l else c1.l - n.l + case when v is null then 0 else round(ln({lm_score.BACKOFF}) * 1e6)::bigint end end as s,
+  v is not null and c2.c < {lm_score.MIN_COUNT} as backed from n, pairs join c1 using (w) left join c2 using (v, w) left join c1 cv on cv.w = pairs.v),
+sums as (select r, sum(s)::bigint as s, count(*) filter (backed) as b from terms group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(b, 0)::bigint as n_backoff, coalesce(s, 0)::bigint as score_micros from d left join sums using (r)
+"""
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_lm_scores": op2_lm_scores, "op3_decontamination": op3_decontamination, "op4_secret_scan": op4_secret_scan, "op5_near_duplicates": op5_near_duplicates, "op6_quality_rules": op6_quality_rules, "op7_language_id": op7_language_id, "op8_url_filters": op8_url_filters, "op9_warc": op9_warc, "op10_bpe_codec": op10_bpe_codec}
+ORACLES: dict[str, str] = {"op2_lm_scores": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_secret_scan": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_url_filters": OP8_SQL, "op9_warc": OP9_SQL}
