@@ -198,29 +198,17 @@ def _captures_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "key", "archive", "offset", "length"])
 
 
-def all_captures(directory: DataFrame) -> DataFrame:
-    """The captures that the index lists, read block by block."""
+def _block_captures(batches):
+    """The captures of blocks (shard, offset, length)."""
+    ranges = _Ranges()
+    for b in batches:
+        for shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield _captures_batch([(int(p) if p else None, k, a, int(o), int(n)) for k, p, a, o, n in _lines(ranges.read(shard, offset, length))])
+    ranges.close()
 
-    def run(batches):
-        ranges = _Ranges()
-        for b in batches:
-            for shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield _captures_batch([(int(p) if p else None, k, a, int(o), int(n)) for k, p, a, o, n in _lines(ranges.read(shard, offset, length))])
-        ranges.close()
 
-    return directory.select("shard", "offset", "length").repartition(F.col("shard"), F.col("offset")).mapInArrow(run, _CAPTURES)
-
-
-def lookup(directory: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    """The captures of the distinct non-null keys: binary search in the directory, then in the
-    block it names. A directory of more than MAX_DIRECTORY blocks isn't shipped to the tasks;
-    then the keys are joined to the blocks' lines, with the same result."""
-    wanted = keys.select(F.col(key).alias("key")).where("key is not null").distinct()
-    blocks = directory.count()
-    if blocks > MAX_DIRECTORY:
-        return all_captures(directory).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    rows = directory.orderBy("first_key").toArrow().to_pylist()  # at most MAX_DIRECTORY
-    shipped = directory.sparkSession.sparkContext.broadcast(([r["first_key"] for r in rows], [(r["shard"], r["offset"], r["length"]) for r in rows]))
+def _searched(shipped):
+    """Of each key the capture, by binary search in the directory and then in the block."""
 
     def run(batches):
         firsts, places = shipped.value
@@ -241,27 +229,64 @@ def lookup(directory: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame
             yield _captures_batch(found)
         ranges.close()
 
-    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _CAPTURES)
+    return run
+
+
+def _records(batches):
+    """The records of captures (page_id, key, archive, offset, length), each read by its range."""
+    ranges = _Ranges()
+    for b in batches:
+        out = []
+        for archive, offset, length in sorted(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
+            headers, payload = parse(ranges.read(archive, offset, length))
+            page = headers["WARC-Record-ID"].removeprefix("<urn:page:").rstrip(">")
+            refers = headers.get("WARC-Refers-To", "").removeprefix("<urn:page:").rstrip(">")
+            out.append((int(page) if page else None, headers["WARC-Type"], len(payload), payload_digest(payload), int(refers) if refers else None, headers.get("X-Refers-To-Key")))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_key"])
+    ranges.close()
+
+
+def _blocks(directory: DataFrame) -> DataFrame:
+    return directory.select("shard", "offset", "length").repartition(F.col("shard"), F.col("offset"))
+
 
+def _wanted(keys: DataFrame, key: str) -> DataFrame:
+    return keys.select(F.col(key).alias("key")).where("key is not null").distinct()
 
-def read_records(captures: DataFrame) -> DataFrame:
+
+def _shipped_directory(directory: DataFrame):
+    rows = directory.orderBy("first_key").toArrow().to_pylist()  # at most MAX_DIRECTORY
+    return directory.sparkSession.sparkContext.broadcast(([r["first_key"] for r in rows], [(r["shard"], r["offset"], r["length"]) for r in rows]))
+
+
+def all_captures(directory: DataFrame) -> DataFrame:
+    """The captures that the index lists, read block by block."""
+    return _blocks(directory).mapInArrow(_block_captures, _CAPTURES)
+
+
+def lookup(directory: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The captures of the distinct non-null keys: binary search in the directory, then in the
+    block it names. A directory of more than MAX_DIRECTORY blocks isn't shipped to the tasks;
+    then the keys are joined to the blocks' lines, with the same result."""
+    wanted = _wanted(keys, key)
+    if directory.count() > MAX_DIRECTORY:
+        return all_captures(directory).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_searched(_shipped_directory(directory)), _CAPTURES)
+
+
+def read_all(directory: DataFrame) -> DataFrame:
     """Read each capture's record from its archive: page_id, record_type, the length and digest of
     the payload it holds (a revisit holds none), and what a revisit refers to."""
+    return _blocks(directory).mapInArrow(lambda batches: _records(_block_captures(batches)), _RECORDS)
 
-    def run(batches):
-        ranges = _Ranges()
-        for b in batches:
-            out = []
-            for archive, offset, length in sorted(zip(*(c.to_pylist() for c in b.columns), strict=True)):
-                headers, payload = parse(ranges.read(archive, offset, length))
-                page = headers["WARC-Record-ID"].removeprefix("<urn:page:").rstrip(">")
-                refers = headers.get("WARC-Refers-To", "").removeprefix("<urn:page:").rstrip(">")
-                out.append((int(page) if page else None, headers["WARC-Type"], len(payload), payload_digest(payload), int(refers) if refers else None, headers.get("X-Refers-To-Key")))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "refers_key"])
-        ranges.close()
 
-    return captures.select("archive", "offset", "length").mapInArrow(run, _RECORDS)
+def read_named(directory: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """Look up the distinct keys (see `lookup`) and read their records, in the same tasks."""
+    if directory.count() > MAX_DIRECTORY:
+        return lookup(directory, keys, key).mapInArrow(_records, _RECORDS)
+    search = _searched(_shipped_directory(directory))
+    return _wanted(keys, key).repartitionByRange("key").sortWithinPartitions("key").mapInArrow(lambda batches: _records(search(batches)), _RECORDS)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
@@ -271,9 +296,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0)
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     directory = build_index(write_archives(pages, folder, min_bytes), folder)
-    records = cut(read_records(all_captures(directory)), "records")
+    records = cut(read_all(directory), "records")
     revisits = records.where("record_type = 'revisit'")
-    named = read_records(lookup(directory, revisits, "refers_key")).select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
+    named = read_named(directory, revisits, "refers_key").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
     named = cut(named.dropDuplicates(["refers_to"]), "named")
     full = revisits.join(broadcast_if_small(named), "refers_to", "left").select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "record_type", "refers_to")
     return records.where("record_type <> 'revisit'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").union(full)
