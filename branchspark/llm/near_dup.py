@@ -3,8 +3,8 @@
 1. One scan turns each text into its set of word shingles: a digest of the set and a signature
    of COORDINATES minwise tokens. Texts with equal sets are one class, held by its smallest id.
 2. TREES independent trees branch the classes: a root branches by one minwise token, a node with
-   more than LEAF classes by a token that its path selects (by two of them for one node in four).
-   Before it branches, a large node is compared with its smallest member: what is safely alike is
+   more than LEAF classes by two tokens that its path selects (for one node in two, by another two
+   as well). Before it branches, a large node is compared with its smallest member: what is safely alike is
    linked to that and leaves the node (what is like it is like the smallest member too, by the
    triangle inequality of the Jaccard distance, so no link is lost), so large groups of near
    copies end at once. Small nodes are compared exhaustively, by signature.
@@ -14,7 +14,8 @@
 4. Connected components over the confirmed links give each class its smallest id.
 
 Recall: a pair of similarity s shares a root with probability 1 - (1 - s) ** TREES, which is
-1 - 1e-10 at 0.85 and 12 trees; each further level keeps it with at least 0.88 of that a tree.
+1 - 1e-10 at 0.85 and 12 trees; below a large node a tree keeps it with s ** 2 a way, 1.5 ways on
+average: after two further levels a pair at 0.85 is still together in six trees of ten.
 No pair within a group is ever emitted in full, and no group meets in one task.
 """
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchspark.llm.common import WordHash, broadcast_if_small, cut, shingle_hashes
+from branchspark.llm.common import WordHash, broadcast_if_small, cut, mix, shingle_hashes
 from branchspark.llm.components import connected_components
 
-COORDINATES, TREES, LEAF = 128, 12, 128
+COORDINATES, TREES, LEAF = 128, 12, 256
 #: Classes, and bytes of sets, that a block of a coarse group holds.
 BLOCK_CLASSES, BLOCK_BYTES = 2_048, 48 << 20
 #: Shingles hashed at once, and bits of the filter of the second scan (4 MB).
@@ -150,40 +151,60 @@ def _leaf_links(least: int):
     return run
 
 
-def _alike(batches):
-    """Adds to (node, rep, pivot, low, pivot_low) the number of equal coordinates."""
-    for b in batches:
-        same = (_bytes_of(b.column(3)) == _bytes_of(b.column(4))).sum(axis=1) if len(b) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same.astype(np.int32))], names=["node", "rep", "pivot", "alike"])
+def _branch(trees: int, sure: int):
+    """(node, rep, pivot, sig, pivot_sig) to node, rep, pivot, alike (equal coordinates) and the child
+    nodes of what stays: the first two selected tokens name one, for half of the nodes another."""
+
+    def run(batches):
+        free = np.uint64(COORDINATES - trees)
+        for b in batches:
+            n = len(b)
+            sig, other = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(n, COORDINATES) for i in (3, 4))
+            alike = (sig == other).sum(axis=1).astype(np.int32)
+            node = b.column(0).to_numpy().astype(np.uint64)
+            children = [[] for _ in range(n)]
+            for way in range(2):
+                at = [(trees + (mix(node + np.uint64(1 + 2 * way + i)) % free).astype(np.int64)) for i in range(2)]
+                name = mix(node + np.uint64(10 + way))
+                for c in at:
+                    name = mix(name + sig[np.arange(n), c] + (c.astype(np.uint64) << np.uint64(33)))
+                goes = (alike < sure) & ((mix(node + np.uint64(20)) % np.uint64(2) == 0) if way else True)
+                for i in np.flatnonzero(goes).tolist():
+                    children[i].append(int(name[i].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(alike), pa.array(children, pa.list_(pa.int64()))], names=["node", "rep", "pivot", "alike", "children"])
+
+    return run
 
 
 def candidates(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(src, dst): links between classes whose signatures make a similarity of percent / 100
-    possible, few enough to span each coarse group. reps: (rep, sig, low), one row a class."""
+    possible, few enough to span each coarse group. reps: (rep, sig, low), one row a class.
+
+    A class that is `sure` like its node's pivot leaves the node; whatever it is linked to lies at
+    least at sure - (1 - t) from the pivot, and is linked to the pivot from 0.1 below that on.
+    """
     t = percent / 100
-    coarse, sure = int(COORDINATES * max(0.2, 2 * t - 1.08)), int(COORDINATES * min(1, t + 0.05))
+    coarse, sure, to_pivot = int(COORDINATES * max(0.2, 2 * t - 1.08)), int(COORDINATES * (t - 0.1)), int(COORDINATES * max(0.1, 2 * t - 1.2))
     roots = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in range(trees)))
     frontier = reps.select("rep", F.explode(roots).alias("node"))
-    lows, found = reps.select("rep", "low"), []
+    lows, sigs, found = reps.select("rep", "low"), reps.select("rep", "sig"), []
     while True:
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1")
         level = cut(frontier.join(sizes, "node").select("node", "rep", "pivot", "c"), "level")
         small = level.where(F.col("c") <= leaf).join(lows, "rep").select("node", "rep", "low").repartition("node").sortWithinPartitions("node", "rep")
         found.append(cut(small.mapInArrow(_leaf_links(coarse), "src long, dst long"), "leaf"))
         big = level.where(F.col("c") > leaf)
-        pivots = cut(big.select("pivot").distinct().join(lows.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", F.col("low").alias("pivot_low")), "pivots")
+        pivots = cut(big.select("pivot").distinct().join(sigs.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", F.col("sig").alias("pivot_sig")), "pivots")
         n = pivots.count()
         if not n:
             break
-        near = big.join(broadcast_if_small(pivots, 4 * n), "pivot").join(lows, "rep").select("node", "rep", "pivot", "low", "pivot_low")
-        near = cut(near.mapInArrow(_alike, "node long, rep long, pivot long, alike int"), "near")
-        found.append(near.where((F.col("alike") >= coarse) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("src"), F.col("rep").alias("dst")).distinct())
-        free = COORDINATES - trees
-        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(free)) + trees
-        second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) == 0, F.pmod(first - trees + 1 + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(free - 1)), F.lit(free)) + trees)
-        ways = F.explode(F.filter(F.array(first, second), lambda x: x.isNotNull())).alias("way")
-        rest = near.where(F.col("alike") < sure).select("node", "rep", ways).join(reps.select("rep", "sig"), "rep")
-        frontier = rest.select("rep", F.xxhash64("node", "way", F.expr("substring(sig, cast(4 * way + 1 as int), 4)")).alias("node"))
+        if len(found) == 1:  # below the roots only these classes are looked at again
+            some = cut(reps.join(big.select("rep").distinct(), "rep", "left_semi"), "some")
+            lows, sigs = some.select("rep", "low"), some.select("rep", "sig")
+        near = big.join(broadcast_if_small(pivots, 10 * n), "pivot").join(sigs, "rep").select("node", "rep", "pivot", "sig", "pivot_sig")
+        near = cut(near.mapInArrow(_branch(trees, sure), "node long, rep long, pivot long, alike int, children array<long>"), "near")
+        found.append(near.where((F.col("alike") >= to_pivot) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("src"), F.col("rep").alias("dst")).distinct())
+        frontier = near.select("rep", F.explode("children").alias("node"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -224,21 +245,29 @@ def _confirm(percent: int):
 
     def block(rep, sig, sets):
         size = np.array([len(s) for s in sets])
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(tokens), bool)
         left, links = np.arange(len(rep)), []
         while len(left):
             stack, left = [int(left[0])], left[1:]
             while stack and len(left):
                 p = stack.pop()
                 fits = (100 * np.minimum(size[left], size[p]) >= percent * np.maximum(size[left], size[p])) & ((sig[left] == sig[p]).sum(axis=1) >= least)
-                gone = np.zeros(len(left), bool)
-                for x in np.flatnonzero(fits).tolist():
-                    q = int(left[x])
-                    common = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    if 100 * common >= percent * (size[p] + size[q] - common):
-                        gone[x] = True
-                        stack.append(q)
-                        links.append((int(rep[p]), int(rep[q])))
-                left = left[~gone]
+                some = left[fits]
+                if not len(some):
+                    continue
+                own = flat[starts[p] : starts[p] + size[p]]
+                mine[own] = True
+                if len(some) > 200:  # the shingles that p has of every set, at once
+                    common = np.add.reduceat(mine[flat], starts, dtype=np.int64)[some]
+                else:
+                    common = np.array([np.count_nonzero(mine[flat[starts[x] : starts[x] + size[x]]]) for x in some.tolist()])
+                mine[own] = False
+                linked = some[100 * common >= percent * (size[p] + size[some] - common)]
+                links += [(int(rep[p]), int(rep[x])) for x in linked]
+                stack += linked.tolist()
+                left = left[~np.isin(left, linked, assume_unique=True)]
         return links
 
     def run(batches):
