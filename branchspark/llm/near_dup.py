@@ -80,8 +80,11 @@ def features(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
-    """The low bytes of each row's coordinates: (rows, COORDINATES)."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    """The low bytes of each row's coordinates: (rows, COORDINATES), of a column of sig or low."""
+    raw = b"".join(column.to_pylist())
+    if len(raw) == 4 * COORDINATES * len(column):
+        return np.frombuffer(raw, "<u4").astype(np.uint8).reshape(-1, COORDINATES)
+    return np.frombuffer(raw, np.uint8).reshape(-1, COORDINATES)
 
 
 def _forest(pairs) -> list[tuple[int, int]]:
@@ -131,7 +134,7 @@ def _groups(batches, keys: int):
 
 
 def _leaf_links(least: int):
-    """Compares all pairs of each small node: rows (node, rep, low) in order of nodes."""
+    """Compares all pairs of each small node: rows (node, rep, low or sig) in order of nodes."""
 
     def run(batches):
         for t in _groups(batches, 1):
@@ -152,8 +155,8 @@ def _leaf_links(least: int):
 
 
 def _branch(trees: int, sure: int):
-    """(node, rep, pivot, sig, pivot_sig) to node, rep, pivot, alike (equal coordinates) and the child
-    nodes of what stays: the first two selected tokens name one, for half of the nodes another."""
+    """(node, rep, pivot, sig, pivot_sig) to node, rep, pivot, sig, alike (equal coordinates) and the
+    child nodes of what stays: the first two selected tokens name one, for half of the nodes another."""
 
     def run(batches):
         free = np.uint64(COORDINATES - trees)
@@ -171,7 +174,7 @@ def _branch(trees: int, sure: int):
                 goes = (alike < sure) & ((mix(node + np.uint64(20)) % np.uint64(2) == 0) if way else True)
                 for i in np.flatnonzero(goes).tolist():
                     children[i].append(int(name[i].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(alike), pa.array(children, pa.list_(pa.int64()))], names=["node", "rep", "pivot", "alike", "children"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(alike), pa.array(children, pa.list_(pa.int64()))], names=["node", "rep", "pivot", "sig", "alike", "children"])
 
     return run
 
@@ -187,24 +190,27 @@ def candidates(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LE
     coarse, sure, to_pivot = int(COORDINATES * max(0.2, 2 * t - 1.08)), int(COORDINATES * (t - 0.1)), int(COORDINATES * max(0.1, 2 * t - 1.2))
     roots = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in range(trees)))
     frontier = reps.select("rep", F.explode(roots).alias("node"))
-    lows, sigs, found = reps.select("rep", "low"), reps.select("rep", "sig"), []
+    # at the roots, ids only: most nodes hold one class and end here
+    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    level = cut(frontier.join(sizes, "node").select("node", "rep", "c"), "roots")
+    small = level.where(F.col("c") <= leaf).join(reps.select("rep", "low"), "rep").select("node", "rep", "low")
+    big = cut(level.where(F.col("c") > leaf).join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), "large")
+    found = []
     while True:
-        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1")
-        level = cut(frontier.join(sizes, "node").select("node", "rep", "pivot", "c"), "level")
-        small = level.where(F.col("c") <= leaf).join(lows, "rep").select("node", "rep", "low").repartition("node").sortWithinPartitions("node", "rep")
+        small = small.repartition("node").sortWithinPartitions("node", "rep")
         found.append(cut(small.mapInArrow(_leaf_links(coarse), "src long, dst long"), "leaf"))
-        big = level.where(F.col("c") > leaf)
-        pivots = cut(big.select("pivot").distinct().join(sigs.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", F.col("sig").alias("pivot_sig")), "pivots")
+        pivots = cut(big.groupBy("node").agg(F.min(F.struct("rep", "sig")).alias("p")).select("node", F.col("p.rep").alias("pivot"), F.col("p.sig").alias("pivot_sig")), "pivots")
         n = pivots.count()
         if not n:
             break
-        if len(found) == 1:  # below the roots only these classes are looked at again
-            some = cut(reps.join(big.select("rep").distinct(), "rep", "left_semi"), "some")
-            lows, sigs = some.select("rep", "low"), some.select("rep", "sig")
-        near = big.join(broadcast_if_small(pivots, 10 * n), "pivot").join(sigs, "rep").select("node", "rep", "pivot", "sig", "pivot_sig")
-        near = cut(near.mapInArrow(_branch(trees, sure), "node long, rep long, pivot long, alike int, children array<long>"), "near")
-        found.append(near.where((F.col("alike") >= to_pivot) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("src"), F.col("rep").alias("dst")).distinct())
-        frontier = near.select("rep", F.explode("children").alias("node"))
+        near = big.join(broadcast_if_small(pivots, 10 * n), "node").select("node", "rep", "pivot", "sig", "pivot_sig")
+        near = cut(near.mapInArrow(_branch(trees, sure), "node long, rep long, pivot long, sig binary, alike int, children array<long>"), "near")
+        found.append(near.where((F.col("alike") >= to_pivot) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("src"), F.col("rep").alias("dst")))
+        frontier = near.select("rep", "sig", F.explode("children").alias("node"))
+        sizes = cut(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
+        level = cut(frontier.join(broadcast_if_small(sizes), "node").select("node", "rep", "sig", "c"), "level")
+        small = level.where(F.col("c") <= leaf).select("node", "rep", "sig")
+        big = level.where(F.col("c") > leaf).drop("c")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -285,7 +291,7 @@ def _confirm(percent: int):
 
 def confirmed(docs: DataFrame, reps: DataFrame, coarse: DataFrame, k: int, percent: int, text: str, key: str) -> DataFrame:
     """(src, dst): confirmed links that span each group. coarse: (node, component)."""
-    members = cut(coarse.withColumnRenamed("node", "rep").join(reps, "rep").select("rep", "component", "doc_id", "digest", "n", "low"), "members")
+    members = cut(reps.join(broadcast_if_small(coarse.withColumnRenamed("node", "rep")), "rep").select("rep", "component", "doc_id", "digest", "n", "low"), "members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
     sizes = cut(sizes.select("component", blocks.alias("blocks")), "sizes")
