@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from branchspark.llm.common import WordHash, cut, mix
 
 BACKOFF, MIN_COUNT = 0.4, 2
-PART_WORDS = 2_000_000
+PART_WORDS = 1_500_000
 _BEGIN, _END = np.uint64(0), np.uint64(1)  # stand before the first and after the last word
 _LEAST_HOT = 256
 _PAIRS, _DOCS, _SUMS, _COUNTS, _NEEDS = range(5)
@@ -40,6 +40,7 @@ _PACKED = "to int, kind int, chunk long, blob binary"
 _hashes = WordHash()
 
 
+
 def _logs(c: np.ndarray) -> np.ndarray:
     return np.rint(np.log(c.astype(np.float64)) * 1e6).astype(np.int64)
 
@@ -115,15 +116,16 @@ def _explode(parts: int, hot: np.ndarray, keys: int):
             rows = [(chunk % parts, _DOCS, chunk, pickle.dumps((info.getvalue().to_pybytes(), sizes)))]
             if sizes.sum():
                 begin, end = np.array([_BEGIN]), np.array([_END])
-                one = np.concatenate([np.concatenate((begin, w)) for w in texts])
-                two = np.concatenate([np.concatenate((w, end)) for w in texts])
-                doc = np.repeat(np.arange(len(texts)), sizes + 1)
-                real = ~((one == _BEGIN) & (two == _END))
-                one, two, doc = one[real], two[real], doc[real]
+                full = [w for w in texts if len(w)]
+                one = np.concatenate([x for w in full for x in (begin, w)])
+                two = np.concatenate([x for w in full for x in (w, end)])
+                doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.where(sizes > 0, sizes + 1, 0))
+                del texts, full
                 spread = np.isin(one, hot) | (one == _BEGIN)
-                to = (np.where(spread, mix(one + mix(two)), mix(one)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((doc, one, to))
+                to = (np.where(spread, mix(one + mix(two)), mix(one)) % np.uint64(parts)).astype(np.int32)
+                order = np.lexsort((one, to))  # stable: documents stay in order
                 one, two, doc, to = one[order], two[order], doc[order], to[order]
+                del order, spread
                 cuts = np.append(np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))), len(to))
                 for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     rows.append((int(to[a]), _PAIRS, chunk, _pack(*_coded(one[a:z]), *_coded(two[a:z]), doc[a:z])))
@@ -159,6 +161,8 @@ def _score(parts: int, hot: np.ndarray, hot_counts: np.ndarray, total: int):
                 doc = np.concatenate([d.astype(np.int64) for _, (*_, d) in blocks])
                 chunks = np.array([c for c, _ in blocks])
                 at = np.repeat(np.arange(len(blocks)), [len(x[-1]) for _, x in blocks])
+                at = at.astype(np.int32)
+                doc = doc.astype(np.int32)
                 del blocks
                 _, i, c = np.unique(mix(one + mix(two)), return_inverse=True, return_counts=True)
                 pair = c[i]
