@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from branchspark.llm.common import slices
 from branchspark.llm.token_counts import _loaded
 from branchspark.llm.vocab import Ranks
 
 #: Fixed value: the words of the normalised text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Distinct words indexed at once, words remembered by a worker, words of texts held at once.
-HELD_WORDS, REMEMBERED, HELD_PARTS = 60_000, 300_000, 1_500_000
+HELD_WORDS, REMEMBERED, HELD_PARTS = 40_000, 200_000, 500_000
 
 
 class PairIndex:
@@ -192,7 +193,7 @@ def _mapped(docs: DataFrame, tokenizer: str, text: str, added: list[tuple[str, T
 
     def run(batches):
         c = codec(shipped.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, *make(c, b.column(at).to_pylist())], names=[*rest, *names])
 
     return docs.mapInArrow(run, schema)

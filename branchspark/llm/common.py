@@ -33,7 +33,7 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
 class WordHash(dict):
     """word (bytes) -> first 60 bits of its MD5, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
@@ -47,6 +47,17 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for all operators in a worker, whose memory outlives its tasks.
+WORDS = WordHash()
+
+
+def slices(batches, rows: int = 1_000):
+    """Record batches in smaller ones, without a copy: what a task holds beside them stays small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 _ONE, _TWO, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
@@ -70,4 +81,4 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WordHash", "ascii_lower", "broadcast_if_small", "cut", "mix", "scratch_path", "shingle_hashes", "table"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WORDS", "WordHash", "ascii_lower", "broadcast_if_small", "cut", "mix", "scratch_path", "shingle_hashes", "slices", "table"]

@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WordHash, broadcast_if_small, cut, shingle_hashes, table
+from branchspark.llm.common import WORDS, broadcast_if_small, cut, shingle_hashes, slices, table
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the bitmap, 4 MB: more shingles make it less selective, not larger.
 BITS = 1 << 25
 
-_hashes = WordHash()
 #: Each byte of a word, in lower case; all others are a blank. Fixed: ASCII digits, letters, and all that isn't ASCII.
 _WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("words", T.StringType())]))
@@ -43,7 +42,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
                 w = words_of(text)
                 n = min(window, len(w))
                 out.update((item, tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n)
-            rows = [(i, b" ".join(w).decode(), len(w), [b" ".join(w[j : j + k]).decode() for j in range(len(w) - k + 1)], shingle_hashes(_hashes.array(list(w)), k).astype(np.int64).tolist()) for i, w in sorted(out) for k in (min(shingle, len(w)),)]
+            rows = [(i, b" ".join(w).decode(), len(w), [b" ".join(w[j : j + k]).decode() for j in range(len(w) - k + 1)], shingle_hashes(WORDS.array(list(w)), k).astype(np.int64).tolist()) for i, w in sorted(out) for k in (min(shingle, len(w)),)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "window", "n", "shingles", "hashes"])
@@ -72,13 +71,13 @@ def find_runs(docs: DataFrame, bits: np.ndarray, least: dict[int, int], text: st
 
     def run(batches):
         bits = shipped.value
-        for b in batches:
+        for b in slices(batches):
             counts, runs = [], []
             for t in b.column(len(rest)).to_pylist():
                 w = words_of(t)
                 counts.append(len(w))
                 found = []
-                h = _hashes.array(w) if least else None
+                h = WORDS.array(w) if least else None
                 for k, need in least.items():
                     if len(w) < need:
                         continue

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WordHash, cut, mix
+from branchspark.llm.common import WORDS, cut, mix
 
 BACKOFF, MIN_COUNT = 0.4, 2
 PART_WORDS = 1_500_000
@@ -37,8 +37,6 @@ _LEAST_HOT = 256
 _PAIRS, _DOCS, _SUMS, _COUNTS, _NEEDS = range(5)
 _PACKED = "to int, kind int, chunk long, blob binary"
 
-_hashes = WordHash()
-
 
 
 def _logs(c: np.ndarray) -> np.ndarray:
@@ -47,7 +45,7 @@ def _logs(c: np.ndarray) -> np.ndarray:
 
 def _words(text: str | None) -> np.ndarray:
     """Hashes of the words of a text in lower case (A-Z); none is _BEGIN or _END."""
-    return _hashes.array(text.encode().lower().split()) + np.uint64(2) if text else np.empty(0, np.uint64)
+    return WORDS.array(text.encode().lower().split()) + np.uint64(2) if text else np.empty(0, np.uint64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:

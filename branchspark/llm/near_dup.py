@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchspark.llm.common import WordHash, broadcast_if_small, cut, mix, shingle_hashes
+from branchspark.llm.common import WORDS, broadcast_if_small, cut, mix, shingle_hashes, slices
 from branchspark.llm.components import connected_components
 
 COORDINATES, TREES, LEAF = 128, 12, 256
@@ -37,7 +37,6 @@ BLOCK_CLASSES, BLOCK_BYTES = 2_048, 48 << 20
 #: Shingles hashed at once, and bits of the filter of the second scan (4 MB).
 CHUNK, FILTER_BITS = 200_000, 1 << 25
 
-_hashes = WordHash()
 _draw = np.random.default_rng(20_240_229)
 _A = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -45,7 +44,7 @@ _B = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of the k-word shingles of a text in lower case (A-Z)."""
-    return np.unique(shingle_hashes(_hashes.array(text.encode().lower().split()), k)) if text else np.empty(0, np.uint64)
+    return np.unique(shingle_hashes(WORDS.array(text.encode().lower().split()), k)) if text else np.empty(0, np.uint64)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -70,7 +69,7 @@ def features(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -
     enough for comparisons."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
             sigs = signatures(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -233,7 +232,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, k: int, text: str, key: str) -
 
     def run(batches):
         bits = shipped.value
-        for b in batches:
+        for b in slices(batches):
             at = b.column(2).to_numpy()
             hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             texts = b.column(1).take(pa.array(hit)).to_pylist()

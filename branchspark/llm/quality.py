@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WordHash, table
+from branchspark.llm.common import WORDS, slices, table
 
 BUCKETS = 1 << 16
 #: Trusted documents are labelled with quality 1; at most so many, those whose id has the smallest MD5.
@@ -33,14 +33,13 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _tokens = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[!-/:-@\[-^`{-~]+").findall
 _symbols = re.compile(rb"[#*$%&|<>]").findall
-_hashes = WordHash()
 
 
 def gram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     """The buckets of a text's token uni- and bigrams, with repeats."""
     if not text:
         return np.empty(0, np.int64)
-    h = _hashes.array(_tokens(text.encode())).astype(np.int64)
+    h = WORDS.array(_tokens(text.encode())).astype(np.int64)
     return np.concatenate((h % buckets, (h[:-1] % 1_000_003 * 1_009 + h[1:] % 999_983) % buckets))
 
 
@@ -87,7 +86,7 @@ def fit(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarra
 
     def run(batches):
         raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text, trusted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = gram_buckets(text, buckets)
                 if len(c) > buckets // 8:
@@ -128,7 +127,7 @@ def judge(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: i
 
     def run(batches):
         w = shipped.value
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column(at).to_pylist():
                 grams = gram_buckets(t, len(w))
