@@ -3,17 +3,17 @@
     S(w | v) = c(v w) / c(v)          where the corpus has the pair at least MIN_COUNT times
              = BACKOFF * c(w) / N     otherwise (without BACKOFF for a document's first word)
 
-Relational in three shuffles, with rows packed to blocks of numpy arrays, so that a word costs a
-few bytes on the wire instead of a row. A block goes to a part by a hash:
+Rows are packed to blocks of numpy arrays, so that a word costs a few bytes on the wire instead
+of a row. In two shuffles:
 
-1. exploded pairs (v, w, document) to the part of v, where they meet the count tables of v's pairs
-   and of v itself; seen pairs are scored there;
-2. the words that backed off (w, document) to the part of w, which has c(w);
-3. sums of logarithms to the block of documents they are of.
+1. Documents are cut into chunks of about CHUNK_WORDS words. A chunk counts its own words and
+   pairs, and sends each distinct one once, with its number, to the part of its hash, which adds
+   up the numbers of all chunks;
+2. the part sends the sums back to the chunks that asked, where documents are scored.
 
-Parts hold about PART_WORDS words each. A word with more than half of that is hot: its pairs are
-dealt by (v, w), and its count, known from a first counting pass, is broadcast; at most two such
-words a part exist. Logarithms are whole millionths, so sums don't depend on their order.
+Nothing is hot: however often a word or pair occurs, a part has it at most once a chunk. Parts
+hold about PART_WORDS distinct entries of chunks each, and chunks go to parts by a hash of their
+number. Logarithms are whole millionths, so sums don't depend on their order.
 """
 
 from __future__ import annotations
@@ -28,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WORDS, cut, mix
-
-BACKOFF, MIN_COUNT = 0.4, 2
-PART_WORDS = 1_500_000
-_BEGIN, _END = np.uint64(0), np.uint64(1)  # stand before the first and after the last word
-_LEAST_HOT = 256
-_PAIRS, _DOCS, _SUMS, _COUNTS, _NEEDS = range(5)
-_PACKED = "to int, kind int, chunk long, blob binary"
+from branchspark.llm.common import WORDS, mix
 
+BACKOFF, MIN_COUNT, ORDER = 0.4, 2, 2
+PART_WORDS = CHUNK_WORDS = 1_500_000
+_DOCS = -1  # stands for the part in a chunk's own row
+_HALF = np.uint64(32)
+_PACKED = "to int, part int, chunk long, blob binary"
 
 
 def _logs(c: np.ndarray) -> np.ndarray:
@@ -44,8 +42,8 @@ def _logs(c: np.ndarray) -> np.ndarray:
 
 
 def _words(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text in lower case (A-Z); none is _BEGIN or _END."""
-    return WORDS.array(text.encode().lower().split()) + np.uint64(2) if text else np.empty(0, np.uint64)
+    """Hashes of the words of a text in lower case (A-Z)."""
+    return WORDS.array(text.encode().lower().split()) if text else np.empty(0, np.uint64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -58,39 +56,31 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
 
-def _coded(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words and each word's place among them."""
-    found, at = np.unique(words, return_inverse=True)
-    return found, at.astype(np.int64)
-
-
 def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "chunk", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "part", "chunk", "blob"])
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, c): the corpus count of each word's hash, and of all words under h = -1."""
+def count_words(docs: DataFrame, text: str = "text") -> int:
+    """The number of words of all documents."""
 
     def run(batches):
         for b in batches:
-            w = [_words(t) for t in b.column(0).to_pylist()]
-            h, c = np.unique(np.concatenate(w), return_counts=True) if w else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h.astype(np.int64), -1)), pa.array(np.append(c, c.sum()).astype(np.int64))], names=["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.encode().split()) for t in b.column(0).to_pylist() if t)], pa.int64())], names=["c"])
 
-    return docs.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(run, "c long").agg(F.sum("c").alias("c")).first()["c"] or 0
 
 
 def _by_part(batches):
-    """(to, [(kind, chunk, blob)]) of rows in order of `to`."""
+    """(to, [(part, chunk, blob)]) of rows in order of `to`."""
     now, rows = None, []
     for b in batches:
-        for to, kind, chunk, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for to, part, chunk, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if to != now:
                 if rows:
                     yield now, rows
                 now, rows = to, []
-            rows.append((kind, chunk, blob))
+            rows.append((part, chunk, blob))
     if rows:
         yield now, rows
 
@@ -99,144 +89,158 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("to").sortWithinPartitions("to")
 
 
-def _explode(parts: int, hot: np.ndarray, keys: int):
-    """Documents to their pairs, by part, and a row with their keys for each chunk."""
+def _home(chunk: int, parts: int) -> int:
+    """The part that collects a chunk."""
+    return int(mix(np.array([chunk], np.uint64))[0] % np.uint64(parts))
 
-    def run(batches):
-        task = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
-            chunk = task << 24 | number  # the same whenever the task runs again
-            texts = [_words(t) for t in b.column(keys).to_pylist()]
-            sizes = np.array([len(w) for w in texts], np.int64)
-            info = pa.BufferOutputStream()
-            with pa.ipc.new_stream(info, b.schema.remove(keys)) as out:
-                out.write_batch(pa.RecordBatch.from_arrays(b.columns[:keys], schema=b.schema.remove(keys)))
-            rows = [(chunk % parts, _DOCS, chunk, pickle.dumps((info.getvalue().to_pybytes(), sizes)))]
-            if sizes.sum():
-                begin, end = np.array([_BEGIN]), np.array([_END])
-                full = [w for w in texts if len(w)]
-                one = np.concatenate([x for w in full for x in (begin, w)])
-                two = np.concatenate([x for w in full for x in (w, end)])
-                doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.where(sizes > 0, sizes + 1, 0))
-                del texts, full
-                spread = np.isin(one, hot) | (one == _BEGIN)
-                to = (np.where(spread, mix(one + mix(two)), mix(one)) % np.uint64(parts)).astype(np.int32)
-                order = np.lexsort((one, to))  # stable: documents stay in order
-                one, two, doc, to = one[order], two[order], doc[order], to[order]
-                del order, spread
-                cuts = np.append(np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))), len(to))
-                for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    rows.append((int(to[a]), _PAIRS, chunk, _pack(*_coded(one[a:z]), *_coded(two[a:z]), doc[a:z])))
-            yield _batch(rows)
 
-    return run
+def _pieces(texts: list[np.ndarray], words: int):
+    """(first, last + 1) of runs of texts with at most so many words, or of one text."""
+    a = n = 0
+    for z, t in enumerate(texts):
+        if n and n + len(t) > words:
+            yield a, z
+            a, n = z, 0
+        n += len(t)
+    yield a, len(texts)
 
 
-def _sum_rows(parts: int, chunks: np.ndarray, at: np.ndarray, doc: np.ndarray, sums: np.ndarray, backed: np.ndarray):
-    """Sums and back-offs of documents, a row for each chunk. at: the place of each chunk's entries
-    in `chunks`."""
-    out = []
-    for i in np.unique(at).tolist():
-        mine = at == i
-        docs, place = np.unique(doc[mine], return_inverse=True)
-        total = np.zeros(len(docs), np.int64)
-        np.add.at(total, place, sums[mine])
-        out.append((int(chunks[i]) % parts, _SUMS, int(chunks[i]), _pack(docs, total, np.bincount(place, backed[mine], len(docs)).astype(np.int64))))
-    return out
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """The place in its text of each word."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _score(parts: int, hot: np.ndarray, hot_counts: np.ndarray, total: int):
-    """Pairs meet the counts of their part: seen ones are scored, the others ask for their word."""
-    log_n, log_b = int(_logs(np.array([total]))[0]) if total else 0, int(round(math.log(BACKOFF) * 1e6))
+def _named(grams: np.ndarray, parts: int) -> tuple[tuple, tuple, list[int]]:
+    """Grams in small (which are new, the others' numbers among the new, the new ones' parts), and
+    the distinct ones with their counts by part, in order of their first place, with the parts' bounds."""
+    found, first, i, c = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+    by_first = np.argsort(first)
+    number = np.empty(len(found), np.int64)
+    number[by_first] = np.arange(len(found))
+    new = np.zeros(len(grams), bool)
+    new[first] = True
+    part = (((found >> _HALF) * np.uint64(parts)) >> _HALF).astype(np.int64)[by_first]
+    by_part = np.argsort(part, kind="stable")
+    sent = by_first[by_part]
+    return (np.packbits(new), number[i][~new], part), (found[sent], c[sent]), np.searchsorted(part[by_part], np.arange(parts + 1)).tolist()
+
+
+def _counts_of(small: tuple, told: np.ndarray, n: int) -> np.ndarray:
+    """The told count of each of n grams, from what `_named` made of them."""
+    new, others, part = small
+    counts = np.empty(len(part), np.int64)
+    counts[np.argsort(part, kind="stable")] = told
+    at = np.empty(n, np.int64)
+    new = np.unpackbits(new, count=n).astype(bool)
+    at[new] = np.arange(len(part))
+    at[~new] = others
+    return counts[at]
+
+
+def _explode(parts: int, keys: int, order: int, chunk_words: int):
+    """Documents to chunks: a row with the chunk's documents, their n-grams by number (see
+    `_named`), and for each part a row of the n-grams that it counts, with their numbers."""
 
     def run(batches):
-        for _, rows in _by_part(batches):
-            out = [(chunk % parts, _DOCS, chunk, blob) for kind, chunk, blob in rows if kind == _DOCS]
-            blocks = [(chunk, _unpack(blob)) for kind, chunk, blob in rows if kind == _PAIRS]
-            if blocks:
-                one = np.concatenate([a1[i1] for _, (a1, i1, _, _, _) in blocks])
-                two = np.concatenate([a2[i2] for _, (_, _, a2, i2, _) in blocks])
-                doc = np.concatenate([d.astype(np.int64) for _, (*_, d) in blocks])
-                chunks = np.array([c for c, _ in blocks])
-                at = np.repeat(np.arange(len(blocks)), [len(x[-1]) for _, x in blocks])
-                at = at.astype(np.int32)
-                doc = doc.astype(np.int32)
-                del blocks
-                _, i, c = np.unique(mix(one + mix(two)), return_inverse=True, return_counts=True)
-                pair = c[i]
-                mine, i, c = np.unique(one, return_inverse=True, return_counts=True)
-                if len(hot):
-                    k = np.searchsorted(hot, mine)
-                    k[k == len(hot)] = 0
-                    c = np.where(hot[k] == mine, hot_counts[k], c)
-                own = ~np.isin(mine, hot) & (mine != _BEGIN)
-                word = c[i]
-                scored, begins = two != _END, one == _BEGIN
-                seen = scored & ~begins & (pair >= MIN_COUNT)
-                less = scored & ~seen
-                value = np.zeros(len(one), np.int64)
-                value[seen] = _logs(pair[seen]) - _logs(word[seen])
-                value[less] = np.where(begins[less], 0, log_b) - log_n
-                known = less & np.isin(two, hot)
-                if known.any():
-                    value[known] += _logs(hot_counts[np.searchsorted(hot, two[known])])
-                out += _sum_rows(parts, chunks, at[scored], doc[scored], value[scored], (less & ~begins)[scored].astype(np.int64))
-                for kind, words, more in ((_COUNTS, mine[own], (c[own],)), (_NEEDS, two[less & ~known], (at[less & ~known], doc[less & ~known]))):
-                    to = (mix(words) % np.uint64(parts)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    to, words, more = to[order], words[order], [m[order] for m in more]
-                    cuts = np.append(np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))), len(to)) if len(to) else []
-                    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                        if kind == _COUNTS:
-                            out.append((int(to[a]), kind, 0, _pack(words[a:z], more[0][a:z])))
-                        else:
-                            which, place = np.unique(more[0][a:z], return_inverse=True)
-                            out.append((int(to[a]), kind, 0, _pack(*_coded(words[a:z]), chunks[which], place, more[1][a:z])))
-            yield _batch(out)
+        task, number = TaskContext.get().partitionId(), 0
+        for b in batches:
+            every = [_words(t) for t in b.column(keys).to_pylist()]
+            for first, end in _pieces(every, chunk_words):
+                chunk = task << 24 | number  # the same whenever the task runs again
+                number += 1
+                texts, some = every[first:end], b.slice(first, end - first)
+                sizes = np.array([len(w) for w in texts], np.int64)
+                info = pa.BufferOutputStream()
+                with pa.ipc.new_stream(info, b.schema.remove(keys)) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays(some.columns[:keys], schema=b.schema.remove(keys)))
+                at, asked, edges = [], [], []
+                words = mix(np.concatenate(texts)) if len(texts) else np.empty(0, np.uint64)
+                del texts
+                place, gram = _places(sizes), words
+                for n in range(1, order + 1):
+                    if n > 1:  # named by the n-gram less its last word, and that
+                        gram = np.concatenate((gram[:1], mix(gram[:-1] + mix(words[1:]))))
+                    small, sent, bounds = _named(gram[place >= n - 1], parts)
+                    at += small
+                    asked += sent
+                    edges.append(bounds)
+                rows = [(_home(chunk, parts), _DOCS, chunk, pickle.dumps((info.getvalue().to_pybytes(), _pack(sizes, *at))))]
+                del at, words, gram
+                for to in range(parts):
+                    if any(e[to] < e[to + 1] for e in edges):
+                        rows.append((to, to, chunk, _pack(*(asked[k][edges[k // 2][to] : edges[k // 2][to + 1]] for k in range(2 * order)))))
+                yield _batch(rows)
 
     return run
 
 
-def _backed_off(parts: int):
-    """Words that backed off meet their counts."""
+def _count(parts: int, order: int):
+    """Each part adds up the numbers of its n-grams and answers every chunk that has them."""
 
     def run(batches):
         for _, rows in _by_part(batches):
-            out = [(chunk % parts, kind, chunk, blob) for kind, chunk, blob in rows if kind in (_DOCS, _SUMS)]
-            counts = [_unpack(blob) for kind, _, blob in rows if kind == _COUNTS]
-            words = np.concatenate([w for w, _ in counts]) if counts else np.empty(0, np.uint64)
-            logs = _logs(np.concatenate([c for _, c in counts])) if counts else np.empty(0, np.int64)
-            order = np.argsort(words)
-            words, logs = words[order], logs[order]
-            for kind, _, blob in rows:
-                if kind == _NEEDS:
-                    w, i, chunks, at, doc = _unpack(blob)
-                    value = logs[np.searchsorted(words, w)][i]
-                    out += _sum_rows(parts, chunks, at.astype(np.int64), doc.astype(np.int64), value, np.zeros(len(value), np.int64))
+            out = [(_home(chunk, parts), part, chunk, blob) for part, chunk, blob in rows if part == _DOCS]
+            asks = [(part, chunk, _unpack(blob)) for part, chunk, blob in rows if part != _DOCS]
+            answers = [[] for _ in asks]
+            for n in range(order if asks else 0):
+                _, i = np.unique(np.concatenate([a[2 * n] for *_, a in asks]), return_inverse=True)
+                total = np.zeros(int(i.max()) + 1 if len(i) else 0, np.int64)
+                np.add.at(total, i, np.concatenate([a[2 * n + 1].astype(np.int64) for *_, a in asks]))
+                cuts = np.cumsum([len(a[2 * n]) for *_, a in asks])[:-1]
+                for k, mine in enumerate(np.split(i, cuts)):
+                    answers[k].append(total[mine])
+            out += [(_home(chunk, parts), part, chunk, _pack(*found)) for (part, chunk, _), found in zip(asks, answers, strict=True)]
             yield _batch(out)
 
     return run
 
 
-def _collected(batches):
+def _scores(sizes: np.ndarray, small: list[np.ndarray], told: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Back-offs and summed logarithms of each text of a chunk. small: three arrays (see `_named`)
+    for each n, of the n-grams that end at the words that have n - 1 before them."""
+    log_n, log_b = int(_logs(np.array([total]))[0]) if total else 0, int(round(math.log(BACKOFF) * 1e6))
+    place = _places(sizes)
+    context = _counts_of(small[:3], told[0], len(place))  # of the (n-1)-gram that ends at each word
+    value = _logs(context) - log_n
+    backed = np.zeros(len(value), bool)
+    for n in range(2, len(told) + 1):
+        where = np.flatnonzero(place >= n - 1)
+        c = _counts_of(small[3 * n - 3 : 3 * n], told[n - 1], len(where))
+        seen = c >= MIN_COUNT
+        value[where] += log_b
+        value[where[seen]] = _logs(c[seen]) - _logs(context[where[seen] - 1])
+        backed[where] = ~seen
+        context = np.zeros(len(value), np.int64)
+        context[where] = c
+    upto = np.cumsum(sizes)
+    add = lambda x: (s := np.concatenate(([0], np.cumsum(x, dtype=np.int64))))[upto] - s[upto - sizes]
+    return add(backed), add(value)
+
+
+def _collected(order: int, total: int):
     """The rows of each chunk's documents with their sums."""
-    for _, rows in _by_part(batches):
-        sums: dict[int, list] = {}
-        for kind, chunk, blob in rows:
-            if kind == _SUMS:
-                sums.setdefault(chunk, []).append(_unpack(blob))
-        for kind, chunk, blob in rows:
-            if kind == _DOCS:
-                info, sizes = pickle.loads(blob)
-                total, backed = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-                for docs, s, n in sums.get(chunk, []):
-                    total[docs] += s.astype(np.int64)
-                    backed[docs] += n.astype(np.int64)
-                for b in pa.ipc.open_stream(info):
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(backed), pa.array(total)], names=[*b.schema.names, "n_words", "n_backoff", "score_micros"])
-
-
-def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
+
+    def run(batches):
+        for _, rows in _by_part(batches):
+            answers: dict[int, list] = {}
+            for part, chunk, blob in rows:
+                if part != _DOCS:
+                    answers.setdefault(chunk, []).append((part, blob))
+            for part, chunk, blob in rows:
+                if part == _DOCS:
+                    info, packed = pickle.loads(blob)
+                    sizes, *small = _unpack(packed)
+                    sizes = sizes.astype(np.int64)
+                    told = [_unpack(x) for _, x in sorted(answers.pop(chunk, []))]
+                    counts = [np.concatenate([np.empty(0, np.int64), *(t[n].astype(np.int64) for t in told)]) for n in range(order)]
+                    backed, score = _scores(sizes, small, counts, total)
+                    for b in pa.ipc.open_stream(info):
+                        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(backed), pa.array(score)], names=[*b.schema.names, "n_words", "n_backoff", "score_micros"])
+
+    return run
+
+
+def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """docs without text, with n_words, n_backoff (words whose pair was too rare) and score_micros,
     the sum of the logarithms of S in millionths (long).
 
@@ -248,12 +252,8 @@ def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS)
     rest = [c for c in docs.columns if c not in new and c != text]
     docs = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text))
     schema = T.StructType([*docs.drop(text).schema, *(T.StructField(n, T.LongType(), False) for n in new)])
-    often = cut(count_words(docs, text).where(f"c >= {_LEAST_HOT} or h = -1"), "often")
-    total = next((r["c"] for r in often.where("h = -1").collect()), 0)
+    total = count_words(docs, text)
     parts = max(1, -(-total // part_words))
-    found = often.where(F.col("h") != -1).where(F.col("c") > F.lit(total / (2 * parts))).orderBy("h").toArrow()  # at most 2 * parts rows
-    hot, hot_counts = found["h"].to_numpy().astype(np.uint64), found["c"].to_numpy()
-    packed = docs.mapInArrow(_explode(parts, hot, len(rest)), _PACKED)
-    scored = _dealt(packed).mapInArrow(_score(parts, hot, hot_counts, total), _PACKED)
-    summed = _dealt(scored).mapInArrow(_backed_off(parts), _PACKED)
-    return _dealt(summed).mapInArrow(_collected, schema)
+    packed = docs.mapInArrow(_explode(parts, len(rest), ORDER, chunk_words), _PACKED)
+    counted = _dealt(packed).mapInArrow(_count(parts, ORDER), _PACKED)
+    return _dealt(counted).mapInArrow(_collected(ORDER, total), schema)

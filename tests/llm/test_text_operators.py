@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,6 +98,37 @@ def test_lm_scores(spark, part_words):
     assert lm_score.lm_scores(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["of the", "tick " * 50])
+def test_lm_parts_are_bounded_whatever_a_pair_repeats(monkeypatch, text):
+    # all of the corpus is one pair (and its turn): what a part gets grows with chunks, not with occurrences
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(lm_score.TaskContext, "get", staticmethod(Task))
+    parts, rows = 8, 400
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array([f"{text} {text}"] * rows)], names=["doc_id", "text"]) for _ in range(20)]
+    entries = Counter()
+    for b in lm_score._explode(parts, 1, 2, 10**6)(batches):
+        for to, part, blob in zip(*(b.column(n).to_pylist() for n in ("to", "part", "blob")), strict=True):
+            if part != lm_score._DOCS:
+                entries[to] += sum(len(a) for a in lm_score._unpack(blob)[::2])
+    assert max(entries.values()) <= 20 * 4
+
+
+def test_lm_chunks_spread_over_parts():
+    # chunk = task << 24 | number: the low bits are those of the number alone
+    homes = Counter(lm_score._home(task << 24 | number, 64) for task in range(640) for number in range(2))
+    assert len(homes) == 64 and max(homes.values()) < 60
+
+
+@pytest.mark.parametrize("chunk_words", [1, 50])
+def test_lm_scores_of_small_chunks(spark, chunk_words):
+    rnd = random.Random(4)
+    texts = [None, "", "a", "of the " * 300] + [" ".join(rnd.choice(["of", "the", "Of", "x", "y", f"w{rnd.randrange(90)}"]) for _ in range(rnd.randint(0, 30))) for _ in range(80)]
+    got = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), part_words=200, chunk_words=chunk_words)
+    assert sorted((r["doc_id"], r["n_words"], r["n_backoff"], r["score_micros"]) for r in got.collect()) == [(i, *x) for i, x in enumerate(brute_lm(texts))]
+
+
 def test_base_counts_by_brute_force():
     rnd = random.Random(5)
     texts = EDGES + ["".join(rnd.choice(["a ", "b ", "c#", "\n", " ", "a b c ", "é\t"]) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
