@@ -65,7 +65,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n, digest, sig, low) of each row: low has the low byte of each coordinate, which is
+    """(doc_id, h, n, digest, sig, low) of each row: h is a hash of its text, and low has the low byte of each coordinate, which is
     enough for comparisons."""
 
     def run(batches):
@@ -73,9 +73,9 @@ def features(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -
             sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
             sigs = signatures(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in sigs], pa.binary())], names=["doc_id", "n", "digest", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in sigs], pa.binary())], names=["doc_id", "h", "n", "digest", "sig", "low"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, sig binary, low binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, n long, digest binary, sig binary, low binary")
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
@@ -313,24 +313,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     component_id and is kept. Rows that share a doc_id count with the text of each; equal rows are
     kept alike. An empty table gives an empty one. Other columns of docs aren't read.
     """
+    out = _judged(docs, k, percent, text, key, trees, leaf)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _judged(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, h, n, component_id, head) of each row of docs: head is the (doc_id, h) of the row
+    that stands for its group, null where a row has no group."""
     feat = cut(features(docs, k, text, key), "features")
     full = feat.where("n > 0 and doc_id is not null")
-    reps = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("low").alias("low"))
-    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")  # an id of its own, as rows may share a doc_id
+    reps = full.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("head"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("low").alias("low"))
+    reps = cut(reps.withColumn("doc_id", F.col("head.doc_id")).withColumn("rep", F.monotonically_increasing_id()), "reps")  # an id of its own, as rows may share a doc_id
     coarse = cut(connected_components(cut(candidates(reps.select("rep", "sig", "low"), percent, trees, leaf), "candidates")), "coarse")
-    links = cut(confirmed(docs, reps.drop("sig"), coarse, k, percent, text, key), "links")
-    parts = cut(connected_components(links).withColumnRenamed("node", "rep").join(reps.select("rep", "digest", "doc_id"), "rep"), "parts")
-    least = parts.groupBy("component").agg(F.min("doc_id").alias("least"))
+    links = cut(confirmed(docs, reps.drop("sig", "head"), coarse, k, percent, text, key), "links")
+    parts = cut(connected_components(links).withColumnRenamed("node", "rep").join(reps.select("rep", "digest", "head"), "rep"), "parts")
+    least = parts.groupBy("component").agg(F.min("head").alias("least"))  # several groups may have one smallest id
     named = parts.join(least, "component").select("digest", "least")
-    named = reps.select("digest", "doc_id").join(named, "digest", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id"))
-    rows = feat.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = rows.where("digest is not null").join(named, "digest").select("doc_id", "n", "component_id")
-    out = out.union(rows.where("digest is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = reps.select("digest", "head").join(named, "digest", "left").select("digest", F.coalesce("least", "head").alias("head"))
+    rows = feat.select("doc_id", "h", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = rows.where("digest is not null").join(named, "digest").select("doc_id", "h", "n", F.col("head.doc_id").alias("component_id"), "head")
+    return out.unionByName(rows.where("digest is null").select("doc_id", "h", "n", F.col("doc_id").alias("component_id")), allowMissingColumns=True)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id, with the
-    columns of documents."""
-    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, with the columns of documents: the one with
+    the smallest id, of several texts with that id the one with the smallest hash, and of rows
+    equal in both any one. Rows without doc_id or words are in no group and stay."""
+    judged = cut(_judged(docs).where("head is not null").select(F.struct("doc_id", "h").alias("__key"), "head"), "judged")
+    gone = cut(judged.where("__key <> head").select("__key").distinct(), "gone")
+    again = cut(judged.where("__key = head").groupBy("__key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__key"), "again")
+    left = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")))
+    left = left.join(broadcast_if_small(gone), "__key", "left_anti")
+    n = again.count()
+    if n:  # equal rows
+        again = broadcast_if_small(again, n)
+        left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return left.select(*docs.columns)

@@ -168,6 +168,22 @@ def test_near_duplicates(spark, monkeypatch, k, percent, leaf, block):
     assert near_dup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    say = lambda seed, n=60: " ".join(f"w{random.Random(seed * 1000 + i).randrange(9**9)}" for i in range(n))
+    a, b, c, d = (say(i) for i in range(4))
+    # id 7 repeats: a copy of a that goes, and a text of its own that stays. id 3 is the smallest of two groups.
+    # id 1: equal rows, of which one stays. id 4: two near texts, one stays.
+    rows = [(2, a), (7, a), (7, b), (3, c), (9, c), (3, d), (8, d + " end"), (1, say(5)), (1, say(5)), (1, say(5)), (4, say(6)), (4, say(6) + " end"), (None, a), (None, a), (5, ""), (5, ""), (6, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = near_dup.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    fours = [x for x in got if x[0] == 4]
+    assert len(fours) == 1 and fours[0] in rows
+    want = [(2, a), (7, b), (3, c), (3, d), (1, say(5)), (None, a), (None, a), (5, ""), (5, ""), (6, None)]
+    assert sorted((x for x in got if x[0] != 4), key=repr) == sorted(want, key=repr)
+
+
 def test_url_filters(spark):
     link = lambda u: f'<html><head><LINK href="{u}" rel="canonical"></head></html>'
     move = lambda u: f"<meta http-equiv=refresh content='0; url={u}'>"
