@@ -23,6 +23,9 @@ WIDTH = 20
 CLASSES = [("entropy_hex", r"[0-9A-Fa-f]{20,}", 3_000_000), ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 3_800_000)]
 #: Candidates that are no secrets: words, numbers, UUIDs, alphabets, placeholders, paths of words; and for the second class what is of the first.
 ALLOW = r"^[A-Za-z_=-]+$|^[0-9_=-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|0123456789|abcdefghij|ABCDEFGHIJ|[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[cC][hH][aA][nN][gG][eE][mM][eE]|[xX]{8}|^/?([A-Za-z]+[/_-])+[A-Za-z]+$"
+#: Where a candidate is cut for `scan` by pieces, and pieces that are no secrets: of one case, camel case, numbers.
+CUTS = r"[/_=-]|0123456789|abcdefghij|ABCDEFGHIJ|[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[cC][hH][aA][nN][gG][eE][mM][eE]|[xX]{8}"
+PLAIN = r"^[A-Z]+$|^[a-z]*([A-Z][a-z]{2,})*$|^[0-9]+$"
 ONLY_HEX = r"^[0-9A-Fa-f]+$"
 KINDS = ["assign", "access", "hex", *(k for k, _, _ in CLASSES)]
 #: c * log2(c) in millionths, for counts in a window
@@ -82,9 +85,21 @@ def _random_enough(allowed: str, least: int):
     return lambda x: F.when(x["found"].rlike(allowed), F.lit(False)).otherwise(best_entropy(x["found"]) >= least * WIDTH)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def _random_piece(plain: str, least: int):
+    """Whether a piece of a candidate, between words of the allow-list and separators, is random enough."""
+    long = lambda p: (F.char_length(p) >= WIDTH) & ~p.rlike(plain)
+    return lambda x: F.exists(F.filter(F.split(x["found"], CUTS, -1), long), lambda p: best_entropy(p) >= least * WIDTH)
+
+
+def _either(a, b):
+    return lambda x: a(x) | b(x)
+
+
+def scan(docs: DataFrame, text: str = "text", pieces: bool = False) -> DataFrame:
     """docs with base_spans and spans: arrays of (start, rank, end, kind) by start, then kind as
     listed in KINDS; places are code points, the end exclusive. spans holds the base ones too.
+    With pieces, a candidate that the allow-list takes out counts all the same where a piece of it,
+    beside the harmless words, is random enough.
 
     A null or empty text has none. Keys may be null, rows repeat, the table be empty: each row
     stands for itself. Columns of docs with these names are replaced.
@@ -95,7 +110,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         _spans(_matches(t, ACCESS), "access", lambda x: F.lit(True)),
         _spans(_matches(t, HEX), "hex", lambda x: F.lit(True)),
     )
-    more = [_spans(_matches(t, pattern), kind, _random_enough(ALLOW if kind == "entropy_hex" else f"{ALLOW}|{ONLY_HEX}", least)) for kind, pattern, least in CLASSES]
+    more = []
+    for kind, pattern, least in CLASSES:
+        also = "" if kind == "entropy_hex" else f"|{ONLY_HEX}"
+        whole, piece = _random_enough(ALLOW + also, least), _random_piece(PLAIN + also, least)
+        more.append(_spans(_matches(t, pattern), kind, _either(whole, piece) if pieces else whole))
     out = docs.withColumn("base_spans", F.sort_array(base))
     return out.withColumn("spans", F.sort_array(F.concat("base_spans", *more)))
 
@@ -121,5 +140,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets redacted and n_chars as it is then."""
-    clean = redact(scan(docs))
+    clean = redact(scan(docs, pieces=True))
     return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -129,6 +129,16 @@ def test_secrets(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_stage_redacts_secrets_beside_harmless_words(spark):
+    key, letters = "q8Zr2Lx9Wv4Tn7Bk1Mc5Yd3", "qZrLxWvTnBkMcYdPsHgJfR"
+    secret = [f"example_dsn={key}", f"docs/example/{key}", f"placeholder{key}", f"{key}-changeme", f"abcdefghij{key}", f"{key}0123456789", f"xxxxxxxx{key}", letters, f"/words/{letters}/more"]
+    plain = ["word/another/path-of_words/here-and-there", "123e4567-e89b-12d3-a456-426614174000", "internationalization", "AbstractSingletonProxyFactoryBean", "example_placeholder_changeme_value", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx"]
+    texts = [f"see {t} there" for t in secret + plain]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = [r["text"] for r in secret_scan.stage(spark, df, "").orderBy("doc_id").collect()]
+    assert got == ["see [SECRET] there"] * len(secret) + texts[len(secret) :]
+
+
 def brute_near(rows, k, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
