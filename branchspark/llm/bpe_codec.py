@@ -214,6 +214,16 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "token_ids", out: str = "
     return _mapped(docs, tokenizer, ids, [(out, T.StringType())], lambda c, t: [pa.array([c.decode(x or b"") for x in t], pa.string())])
 
 
+def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """docs with token_ids and decoded, both in one go (see `encode` and `decode`)."""
+
+    def make(c: Codec, texts):
+        ids = c.encode(texts)
+        return [pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())]
+
+    return _mapped(docs, tokenizer, text, [("token_ids", T.BinaryType()), ("decoded", T.StringType())], make)
+
+
 def encode_digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 of each whole text, the ids and the
     decoded text themselves staying in the task (see `encode` and `decode` for them)."""

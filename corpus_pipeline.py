@@ -14,9 +14,10 @@ from branchspark.llm.common import cut, table
 
 
 def bpe_stage(spark, docs, sf_dir):
-    """doc_id, lang, source, n_tokens and token_ids (little-endian unsigned 32-bit integers)."""
-    coded = bpe_codec.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", "lang", "source", F.floor(F.octet_length("token_ids") / 4).alias("n_tokens"), "token_ids")
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit integers) and
+    the text decoded from them."""
+    coded = bpe_codec.encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "lang", "source", F.floor(F.octet_length("token_ids") / 4).alias("n_tokens"), "token_ids", "decoded")
 
 
 STAGES = [

@@ -277,6 +277,14 @@ def test_pipeline_by_brute_force(spark):
     assert all(r["n_tokens"] * 4 == len(r["token_ids"]) for r in out.values())
 
 
+def test_last_stage_decodes(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["The cat sat.", None, "", "ΑΣ Straße it's 1234"]
+    df = spark.createDataFrame([(i, "en", "web", t) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string")
+    got = [r["decoded"] for r in corpus_pipeline.bpe_stage(spark, df, "").orderBy("doc_id").collect()]
+    assert got == [tok.decode(tok.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
+
+
 def test_registered():
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in found if x.startswith("op")} and "pipeline" in found
