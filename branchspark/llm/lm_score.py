@@ -3,6 +3,10 @@
     S(w | v) = c(v w) / c(v)          where the corpus has the pair at least MIN_COUNT times
              = BACKOFF * c(w) / N     otherwise (without BACKOFF for a document's first word)
 
+A document is scored by counts that hold itself, where each of its pairs has at least 1: with
+MIN_COUNT = 1 no word would ever back off. A count of 2 is a pair that is seen elsewhere or again,
+as with the one occurrence left out. A longer order backs off by one word a step.
+
 Rows are packed to blocks of numpy arrays, so that a word costs a few bytes on the wire instead
 of a row. In two shuffles:
 
@@ -240,8 +244,9 @@ def _collected(order: int, total: int):
     return run
 
 
-def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """docs without text, with n_words, n_backoff (words whose pair was too rare) and score_micros,
+def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS, chunk_words: int = CHUNK_WORDS, order: int = ORDER) -> DataFrame:
+    """docs without text, with n_words, n_backoff (words whose pair, or longest n-gram of up to
+    `order` words, was too rare) and score_micros,
     the sum of the logarithms of S in millionths (long).
 
     Null and empty texts, and those of white space only, have no words and a score of 0. Rows that
@@ -254,6 +259,6 @@ def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS,
     schema = T.StructType([*docs.drop(text).schema, *(T.StructField(n, T.LongType(), False) for n in new)])
     total = count_words(docs, text)
     parts = max(1, -(-total // part_words))
-    packed = docs.mapInArrow(_explode(parts, len(rest), ORDER, chunk_words), _PACKED)
-    counted = _dealt(packed).mapInArrow(_count(parts, ORDER), _PACKED)
-    return _dealt(counted).mapInArrow(_collected(ORDER, total), schema)
+    packed = docs.mapInArrow(_explode(parts, len(rest), order, chunk_words), _PACKED)
+    counted = _dealt(packed).mapInArrow(_count(parts, order), _PACKED)
+    return _dealt(counted).mapInArrow(_collected(order, total), schema)

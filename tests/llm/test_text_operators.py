@@ -129,6 +129,28 @@ def test_lm_scores_of_small_chunks(spark, chunk_words):
     assert sorted((r["doc_id"], r["n_words"], r["n_backoff"], r["score_micros"]) for r in got.collect()) == [(i, *x) for i, x in enumerate(brute_lm(texts))]
 
 
+def test_lm_scores_with_trigrams(spark):
+    rnd = random.Random(6)
+    docs = [[rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 25))] for _ in range(60)]
+    count = Counter(tuple(d[i : i + n]) for d in docs for n in (1, 2, 3) for i in range(len(d) - n + 1))
+    log = lambda x: round(math.log(x) * 1e6)
+    total = sum(map(len, docs))
+    want = []
+    for i, d in enumerate(docs):
+        score = backed = 0
+        for k in range(len(d)):
+            n = longest = min(3, k + 1)
+            while n > 1 and count[tuple(d[k - n + 1 : k + 1])] < lm_score.MIN_COUNT:
+                n -= 1
+            gram = tuple(d[k - n + 1 : k + 1])
+            score += (longest - n) * log(lm_score.BACKOFF) + log(count[gram]) - log(count[gram[:-1]] if n > 1 else total)
+            backed += n < longest
+        want.append((i, len(d), backed, score))
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = lm_score.lm_scores(df, part_words=300, order=3)
+    assert sorted((r["doc_id"], r["n_words"], r["n_backoff"], r["score_micros"]) for r in got.collect()) == want
+
+
 def test_base_counts_by_brute_force():
     rnd = random.Random(5)
     texts = EDGES + ["".join(rnd.choice(["a ", "b ", "c#", "\n", " ", "a b c ", "é\t"]) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
