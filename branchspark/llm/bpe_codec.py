@@ -5,6 +5,10 @@ neighbours. An index maps each mergeable pair to all its positions. Ranks that h
 positions are active; they are applied in ascending order, and each merge moves the
 neighbours' pairs to the lists of their new ranks. Texts are only scanned: nothing is
 shuffled, and a batch's index is bounded by HELD_WORDS distinct words.
+
+Words are cut as the tokenizer library cuts them, whose Unicode tables differ from Python's: the
+driver asks it once for its letters, numbers and forms of single characters, and texts that have a
+character where the tables differ go through the library's normaliser and the exact pattern.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import hashlib
 import heapq
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +25,67 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, Tokenizer, pre_tokenizers
+from tokenizers.normalizers import Sequence
 
 from branchspark.llm.common import slices
-from branchspark.llm.token_counts import _loaded
-from branchspark.llm.vocab import Ranks
+from branchspark.llm.vocab import Ranks, load
 
 #: Fixed value: the words of the normalised text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Distinct words indexed at once, words remembered by a worker, words of texts held at once.
-HELD_WORDS, REMEMBERED, HELD_PARTS = 40_000, 200_000, 500_000
+#: Distinct words indexed at once, words of at most so many characters remembered by a worker, words of texts held at once.
+HELD_WORDS, REMEMBERED, REMEMBERED_CHARS, HELD_PARTS = 40_000, 200_000, 64, 500_000
+
+
+def _plain_form(text: str) -> str:
+    """A text as the normaliser has it, by Python's tables. Capital sigma has one lower case there,
+    whatever follows it; white space only parts words."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _set(chars: set[str]) -> str:
+    """A character set's inside, as ranges."""
+    at = sorted(map(ord, chars))
+    cuts = [i for i in range(len(at)) if i == 0 or at[i] != at[i - 1] + 1] + [len(at)]
+    return "".join(f"\\U{at[a]:08X}-\\U{at[z - 1]:08X}" for a, z in zip(cuts, cuts[1:], strict=False))
+
+
+def unicode_differences(tokenizer: Tokenizer) -> dict[str, str]:
+    """Where the library's tables aren't Python's, as insides of character sets: letters and numbers
+    that it doesn't take for such or takes besides, and `odd`: all these, characters with another
+    form, and those newer than Unicode 3.2 that take part in compositions."""
+    known = regex.findall(r"[^\p{Cn}\p{Cs}\p{Co}]", "".join(map(chr, range(0x110000))))
+    out, odd = {}, set()
+    for name in ("L", "N"):
+        ours = set(regex.findall(rf"\p{{{name}}}", "".join(known))) | {c for c in known if unicodedata.category(c)[0] == name}
+        text = "".join(sorted(ours))
+        theirs = set(text)
+        for part, _ in pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed").pre_tokenize_str(text):
+            theirs -= set(part)
+        for sign, differ in (("-", {c for c in ours - theirs if regex.match(rf"\p{{{name}}}", c)}), ("+", {c for c in theirs if not regex.match(rf"\p{{{name}}}", c)})):
+            out[f"{name}{sign}"] = _set(differ)
+            odd |= differ
+    lone = [c for c in known if c != "|" and not c.isspace()]  # a bar composes with nothing
+    said = tokenizer.normalizer.normalize_str("|".join(lone)).split("|")
+    odd.update(c for c, form in zip(lone, said, strict=True) if form != _plain_form(c))
+    for c in known:
+        if unicodedata.ucd_3_2_0.category(c) == "Cn":
+            parts = unicodedata.decomposition(c)
+            if unicodedata.category(c) == "Cn" or unicodedata.combining(c) or parts:
+                odd.add(c)
+            if parts and not parts.startswith("<"):
+                odd.update(chr(int(x, 16)) for x in parts.split() if unicodedata.ucd_3_2_0.category(chr(int(x, 16))) == "Cn")
+    return {**out, "odd": _set(odd)}
+
+
+@lru_cache(maxsize=4)
+def loaded(path: str) -> dict:
+    """What tasks need of a tokenizer's file: its tables, its text (for the normaliser) and where
+    its Unicode tables differ."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    tokenizer = Tokenizer.from_str(text)
+    return {**load(path), "normalizer": tokenizer.normalizer.__getstate__(), "differences": unicode_differences(tokenizer)}
 
 
 class PairIndex:
@@ -127,13 +184,20 @@ class Codec:
         self.find_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in v["special"].items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.heads = {s[:2] for s in self.special}
+        d = v["differences"]
+        sets = {n: rf"[\p{{{n}}}{f'--[{d[n + "-"]}]' if d[n + '-'] else ''}{f'||[{d[n + "+"]}]' if d[n + '+'] else ''}]" for n in "LN"}
+        self.find_exactly = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{sets['L']}+|{sets['N']}|(?:(?!{sets['L']}|{sets['N']})\S)+", regex.V1).findall
+        self.odd = re.compile(f"[{d['odd']}]").search if d["odd"] else lambda text: None
+        self.normalizer = Sequence([])
+        self.normalizer.__setstate__(v["normalizer"])
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
             return self.find_ascii(text.lower())
-        # capital sigma has one lower case here, whatever follows it
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(text.lower())
+        if self.odd(text):
+            return self.find_exactly(self.normalizer.normalize_str(text))
+        return self.find(_plain_form(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -142,7 +206,7 @@ class Codec:
             if not text:
                 continue
             pieces = []
-            for part in self.split.split(text) if self.split and "<|" in text else (text,):
+            for part in self.split.split(text) if any(h in text for h in self.heads) else (text,):
                 pieces.append(part if part in self.special else self.words(part))
                 n += len(pieces[-1])
             todo.append((i, pieces))
@@ -167,6 +231,9 @@ class Codec:
         get = self.ids.__getitem__
         for i, pieces in todo:
             out[i] = b"".join(self.special[p] if isinstance(p, str) else b"".join(map(get, p)) for p in pieces)
+        for w in fresh:
+            if len(w) > REMEMBERED_CHARS:
+                del self.ids[w]
 
     def decode(self, ids: bytes) -> str:
         """The token strings, joined by a space: what a tokenizer file without a decoder gives."""
@@ -184,7 +251,7 @@ def codec(v: dict) -> Codec:
 
 
 def _mapped(docs: DataFrame, tokenizer: str, text: str, added: list[tuple[str, T.DataType]], make) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(_loaded(tokenizer))
+    shipped = docs.sparkSession.sparkContext.broadcast(loaded(tokenizer))
     names = [n for n, _ in added]
     rest = [c for c in docs.columns if c not in names]
     docs = docs.select(*(F.col(f"`{c}`") for c in rest))
