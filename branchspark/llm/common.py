@@ -13,7 +13,9 @@ from branchspark.sources.scratch import cut, scratch_path
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: A table with at most this many rows of some tens of bytes may be broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+#: A key with more than one in so many rows is hot.
+HOT_KEYS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,23 +26,47 @@ def ascii_lower(col):
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only for a counted table of at most BROADCAST_ROWS rows; beyond
-    that the join shuffles and adaptive execution splits skewed keys."""
+def broadcast_if_small(df: DataFrame, rows: int | None = None, wide: str | None = None) -> DataFrame:
+    """Hint a broadcast only for a counted table of at most BROADCAST_ROWS rows; beyond that the
+    join shuffles and adaptive execution splits skewed keys. All columns but `wide` are numbers,
+    digests or words; the bytes of a `wide` column are summed, and bounded by BROADCAST_BYTES."""
+    if wide is not None:
+        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0))).first()
+        if size > BROADCAST_BYTES:
+            return df
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def join_unique(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", wide: str | None = None) -> DataFrame:
+    """Join rows to a table that has one row a key, where a few keys may hold most of the rows. The
+    keys with more than one in HOT_KEYS of the rows, so at most HOT_KEYS, are told to all tasks;
+    only the rest is shuffled, so no task gets a hot key's rows. rows are read three times."""
+    small = broadcast_if_small(named, wide=wide)
+    if small is not named:
+        return rows.join(small, key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__c"))
+    hot = F.broadcast(cut(counts.where(F.col("__c") * HOT_KEYS > rows.count()).select(key), "hot"))
+    told = F.broadcast(cut(named.join(hot, key, "left_semi"), "told"))
+    return rows.join(hot, key, "left_semi").join(told, key, how).unionByName(rows.join(hot, key, "left_anti").join(named, key, how))
+
+
 class WordHash(dict):
-    """word (bytes) -> first 60 bits of its MD5, remembered up to a bound."""
+    """word (bytes) -> first 60 bits of its MD5, remembered up to a bound (long words never).
+
+    Words with one hash count as one word: of n distinct words, some two share a hash with a
+    probability of about n ** 2 / 2 ** 61 (4e-7 for a million, 0.4 for a billion), so a billion
+    distinct words may have one such pair among them."""
 
     def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.md5(word).digest()[:8], "big") >> 4
+        h = int.from_bytes(hashlib.md5(word).digest()[:8], "big") >> 4
+        if len(word) <= 64:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
@@ -81,4 +107,4 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WORDS", "WordHash", "ascii_lower", "broadcast_if_small", "cut", "mix", "scratch_path", "shingle_hashes", "slices", "table"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WORDS", "WordHash", "ascii_lower", "broadcast_if_small", "cut", "join_unique", "mix", "scratch_path", "shingle_hashes", "slices", "table"]

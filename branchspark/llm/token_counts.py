@@ -17,12 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from branchspark.llm.common import slices
 from branchspark.llm.vocab import Ranks, load
 
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens whose counts a worker remembers, and characters held as pre-tokens at once.
-REMEMBERED, HELD_CHARS = 400_000, 2_000_000
+#: Pre-tokens of at most so many characters whose counts a worker remembers, and characters held as pre-tokens at once.
+REMEMBERED, REMEMBERED_CHARS, HELD_CHARS = 400_000, 64, 2_000_000
 
 
 def merged_lengths(words: list[bytes], symbols: np.ndarray, ranks: Ranks) -> np.ndarray:
@@ -83,6 +84,7 @@ class Counter:
         # in ASCII texts the same pattern means this one
         self.find_ascii = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""").findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(v["special"], key=len, reverse=True)))) if v["special"] else None
+        self.heads = {s[:2] for s in v["special"]}
 
     def pieces(self, text: str):
         return self.find_ascii(text) if text.isascii() else self.find(text)
@@ -93,7 +95,7 @@ class Counter:
             if not text:
                 continue
             parts = [text]
-            if self.special and "<" in text:
+            if any(h in text for h in self.heads):
                 parts = self.special.split(text)
                 out[i] += len(parts) - 1
             for part in parts:
@@ -115,6 +117,9 @@ class Counter:
             self.known.update(zip(new, merged_lengths([w.encode() for w in new], self.symbols, self.ranks).tolist(), strict=True))
         for i, words in todo:
             out[i] += sum(map(self.known.__getitem__, words))
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del self.known[w]
 
 
 _counters: dict[str, Counter] = {}
@@ -148,7 +153,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
 
     def run(batches):
         c = counter(shipped.value)
-        for b in batches:
+        for b in slices(batches):
             n = c.counts(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[*rest, out])
 
