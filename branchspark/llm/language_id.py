@@ -6,8 +6,9 @@ profile has the smallest out-of-place distance: the sum over the text's n-grams
 their ranks are apart, PROFILE for those that the profile lacks.
 
 Learning takes a bounded sample of the labelled rows (about TRAIN_DOCS for each language, by a
-hash of the key) and at most MAX_LANGUAGES languages, so the profiles that are broadcast have a
-fixed bound. Prediction is one narrow scan.
+hash of the key). All languages are learned; more than MAX_LANGUAGES, which no list of languages
+has, are an error, so the profiles that are broadcast have a fixed bound. Prediction is one narrow
+scan; texts of any length are counted whole, in pieces.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from branchspark.llm.common import cut, slices
 
 #: n-grams of 1 to LONGEST characters; kept for each language, and of each text.
 LONGEST, PROFILE = 3, 300
-#: Labelled documents of a language that learning takes, about; languages at most.
-TRAIN_DOCS, MAX_LANGUAGES = 2_000, 1_000
+#: Labelled documents of a language that learning takes, about; languages that are an error.
+TRAIN_DOCS, MAX_LANGUAGES = 2_000, 10_000
+#: Characters whose n-grams are counted at once.
+PIECE = 500_000
 
 _not_letters = regex.compile(r"\P{L}+")
 
@@ -34,18 +38,32 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     s = " " + _not_letters.sub(" ", text.lower()).strip() + " "
     if len(s) < 3:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    code = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    return added([np.unique(_grams(code[a : a + PIECE + LONGEST - 1], PIECE), return_counts=True) for a in range(0, len(code), PIECE)])
+
+
+def _grams(code: np.ndarray, starts: int) -> np.ndarray:
+    """The n-grams that begin at the first `starts` characters."""
+    code = code.astype(np.uint64)
     blank = code == 32
-    key, grams = code, [code[~blank]]
+    key, grams = code, [code[:starts][~blank[:starts]]]
     for n in range(2, LONGEST + 1):
         key = (key[:-1] << np.uint64(21)) | code[n - 1 :]
-        inner = np.zeros(len(key), bool)
+        inner = blank[:-1] & blank[1:] if n == 2 else np.zeros(len(key), bool)
         for i in range(1, n - 1):
             inner |= blank[i : i + len(key)]
-        if n == 2:
-            inner = blank[:-1] & blank[1:]
-        grams.append(key[~inner])
-    return np.unique(np.concatenate(grams), return_counts=True)
+        grams.append(key[:starts][~inner[:starts]])
+    return np.concatenate(grams)
+
+
+def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key, added up."""
+    if len(found) == 1:
+        return found[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, at, np.concatenate([c for _, c in found]))
+    return keys, sums
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray:
@@ -83,19 +101,20 @@ class Profiles:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Profiles of docs' non-null languages. Rows without text don't count."""
+    """Profiles of docs' non-null languages. Rows without text don't count; rows that repeat count
+    each. More than MAX_LANGUAGES languages are an error."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    sizes = cut(rows.groupBy("lang").count(), "sizes")
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.pmod(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 30)) * F.col("count") < F.lit(train_docs << 30)
     sample = rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in sorted(set(names)):
-                found = [gram_counts(t) for x, t in zip(names, texts, strict=True) if x == name]
-                keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+                keys, sums = added([gram_counts(t) for x, t in zip(names, texts, strict=True) if x == name])
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(sums)], names=["lang", "gram", "n"])
 
     sums = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -123,7 +142,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
 
     def run(batches):
         p = shipped.value
-        for b in batches:
+        for b in slices(batches):
             said = [p.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*rest, *new])
 
