@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from branchspark.llm import contamination, near_dup, secret_scan, url_filters, warc
+from branchspark.llm import common, contamination, near_dup, secret_scan, url_filters, warc
 from branchspark.llm.components import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,6 +39,16 @@ def groups(edges, nodes=()):
     return {x: top(x) for x in up}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_unique_keeps_all_rows_of_hot_keys(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 20}") for i in range(200)] + [(900, None), (901, "alone")], "i int, k string")
+    named = spark.createDataFrame([(f"k{i}", i) for i in range(20)] + [("hot", -1), ("other", 5)], "k string, n int")
+    got = sorted(map(tuple, common.join_unique(rows, named, "k", how).collect()), key=repr)
+    assert got == sorted(map(tuple, rows.join(named, "k", how).collect()), key=repr)
+
+
 def test_components(spark):
     rnd = random.Random(0)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(400, i) for i in range(401, 440)] + [(900, 900)] * 2
@@ -214,9 +224,59 @@ def test_url_filters(spark):
     assert url_filters.judge(df, []).where("verdict <> 'allow' or rule is not null").count() == 0
 
 
-@pytest.mark.parametrize("min_bytes", [0, 4])
-def test_warc_round_trip(spark, min_bytes, monkeypatch):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_url_filters_on_random_link_graphs(spark, tmp_path, seed):
+    """Pages that link to each other at random: judged by Spark, by the query's SQL, and by hand."""
+    import duckdb
+
+    from branchspark.llm import queries
+
+    rnd = random.Random(seed)
+    hosts = ["good.org", "shop.fr", "x.com", "www.example.com", "a.net", "example.net", "b.org", "plain.de"]
+    urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'de', 'es', 'fr'])}/{rnd.choice(['7', '8', '9'])}{i}" for i in range(60)]
+    pages, edges = [], []
+    for i, u in enumerate(urls):
+        html = None
+        if rnd.random() < 0.45:
+            to = rnd.choice(urls)
+            edges.append((u, to))
+            html = f'<link rel="canonical" href="{to}">' if rnd.random() < 0.5 else f'<meta http-equiv="refresh" content="0; url={to}">'
+        pages += [(i, u, html)] * rnd.choice([1, 1, 2])
+    pages += [(100, None, f'<link rel="canonical" href="{urls[0]}">'), (101, "no url", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+
+    def rule(u):
+        host, path = re.match(r"http://([^/]*)(/.*)", u).groups()
+        fits = [(a, r) for a, r in url_filters.RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits, key=lambda x: len(x[1]), default=(None, None))
+
+    part = groups(edges, urls)
+    said = {}
+    for u in urls:
+        said.setdefault(part[u], set()).add(rule(u)[0])
+    want = []
+    for i, u, _ in pages:
+        if u not in part:
+            want.append((i, None, "allow"))
+            continue
+        actions = said[part[u]]
+        want.append((i, rule(u)[1], rule(u)[0] or ("allow" if "allow" in actions else "block" if "block" in actions else "allow")))
+    assert any(v == "block" and r is None for _, r, v in want)  # a decision that came along links
+    got = url_filters.judge(df).select("page_id", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.sql(queries.OP8_SQL).project("page_id, rule, verdict").fetchall(), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize(("min_bytes", "shared"), [(0, True), (4, True), (0, False)])
+def test_warc_round_trip(spark, min_bytes, shared, monkeypatch):
+    if not shared:  # the way without broadcasts
+        monkeypatch.setattr("branchspark.llm.common.BROADCAST_ROWS", -1)
+        monkeypatch.setattr("branchspark.llm.common.HOT_KEYS", 3)
     pages = [(5, "http://b.com/x", "same"), (3, "http://a.com/y", "same"), (9, None, "same"), (4, "http://c.com/\r\nEvil: 1", "abc"), (7, "http://c.com/z", "abc"), (1, "http://c.com/z", None), (2, "http://c.com/z", ""), (None, "http://n.com", "same"), (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 3), (8, "http://long.com", "x" * 200_000), (3, "http://a.com/y", "same")]
+    pages += [(i, f"http://many.org/{i}", "hot" if i % 3 else f"own {i}") for i in range(20, 60)] + [(None, None, None)] * 3 + [(-4, "http://minus.com", "abc")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int").repartition(3)
     first = {}
     for i, _, h in pages:
@@ -232,21 +292,40 @@ def test_warc_round_trip(spark, min_bytes, monkeypatch):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
-def test_capture_index(spark, tmp_path, monkeypatch):
+def test_records_have_ids_of_their_own(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    df = spark.createDataFrame([(None, "http://a.com", "x")] * 4 + [(1, "http://a.com", "y")] * 3, "page_id long, url string, html string").repartition(3)
+    captures = warc.write_archives(df, folder).collect()
+    ids, types = set(), []
+    for r in captures:
+        path = r["archive"].removeprefix("file://")
+        with open(path, "rb") as f:
+            f.seek(r["offset"])
+            headers, payload = warc.parse(f.read(r["length"]))
+        ids.add(headers["WARC-Record-ID"])
+        types.append((headers.get("X-Page-ID"), headers["WARC-Type"], payload))
+    assert len(ids) == len({r["key"] for r in captures}) == 7
+    assert sorted(types, key=repr) == sorted([(None, "response", b"x")] * 4 + [("1", "response", b"y")] * 3, key=repr)
+
+
+@pytest.mark.parametrize("root_lines", [warc.ROOT_LINES, 4])
+def test_capture_index(spark, tmp_path, root_lines):
     folder = f"file://{tmp_path}/w"
     df = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id") % 7, F.lit(".com/"), F.col("id") % 50).alias("url"), F.concat(F.lit("page "), "id").alias("html"))
-    directory = warc.build_index(warc.write_archives(df, folder, archive_bytes=5_000), folder, block_lines=16)
-    assert directory.count() >= 500 // 16 and warc.all_captures(directory).count() == 500
+    captures = warc.write_archives(df, folder, archive_bytes=5_000)
+    directory = warc.build_index(captures, folder, block_lines=8, root_lines=root_lines)
+    assert directory.count() <= root_lines and warc.all_captures(directory).count() == 500
+    assert {r["level"] for r in directory.collect()} == ({0} if root_lines > 100 else {2})  # 63 blocks, 8 blocks of these, 1 of these
     firsts = [r["first_key"] for r in directory.orderBy("first_key").collect()]
     assert firsts == sorted(firsts)
     assert warc.surt("http://www.Example.com/a?b#c") == "com,example,www)/a?b"
-    keys = [warc.capture_key(f"http://www.h{i % 7}.com/{i % 50}", i) for i in range(0, 500, 9)] + ["zz", "", None]
+    keys = [warc.capture_key(f"http://www.h{i % 7}.com/{i % 50}", i) for i in range(0, 500, 9)] + ["zz", "", None, "com,h1,www)/1"]
     asked = spark.createDataFrame([(k,) for k in keys * 2], "key string")
-    for most in (warc.MAX_DIRECTORY, 0):  # searched, and joined
-        monkeypatch.setattr(warc, "MAX_DIRECTORY", most)
-        assert sorted(r["page_id"] for r in warc.lookup(directory, asked).collect()) == list(range(0, 500, 9))
-        read = {r["page_id"]: r["payload_digest"] for r in warc.read_named(directory, asked).collect()}
-        assert read == {i: warc.payload_digest(f"page {i}".encode()) for i in range(0, 500, 9)}
+    assert sorted(r["page_id"] for r in warc.lookup(directory, asked).collect()) == list(range(0, 500, 9))
+    read = {r["page_id"]: r["payload_digest"] for r in warc.read_named(directory, asked).collect()}
+    assert read == {i: warc.payload_digest(f"page {i}".encode()) for i in range(0, 500, 9)}
+    assert sorted(r["page_id"] for r in warc.lookup(directory, captures).collect()) == list(range(500))
+    assert warc.lookup(warc.build_index(captures.limit(0), folder), asked).count() == 0
 
 
 def test_pipeline_by_brute_force(spark):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 from branchspark.llm import bpe_codec, language_id, lm_score, quality, token_counts
 from branchspark.llm.bpe_codec import Codec
+from branchspark.llm.common import WordHash
 from branchspark.llm.token_counts import Counter as TokenCounter
 from branchspark.llm.token_counts import _loaded
 
@@ -42,12 +44,37 @@ def test_token_counts_are_the_librarys():
 def test_codec_is_the_librarys():
     texts = EDGES + odd_texts(1500, 1)
     want, t = library(WORD, texts)
-    codec = Codec(_loaded(WORD))
+    codec = Codec(bpe_codec.loaded(WORD))
     got = codec.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
     assert [codec.decode(x) for x in got] == [t.decode(x, skip_special_tokens=False) for x in want]
 
 
+def test_codec_cuts_all_of_unicode_as_the_library_does():
+    codec, tok = Codec(bpe_codec.loaded(WORD)), library(WORD, [])[1]
+    rnd = random.Random(3)
+    points = [chr(x) for x in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 31)]]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = [f"a{c}b" for c in points]
+    texts += ["".join(rnd.choice(marks if rnd.random() < 0.4 else points if rnd.random() < 0.5 else "aeΣ Skا") for _ in range(rnd.randint(1, 12))) for _ in range(20_000)]
+    for k in range(0, len(texts), 20_000):
+        some = texts[k : k + 20_000]
+        want = [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+        wrong = [ascii(t) for t, got, ids in zip(some, codec.encode(some), want, strict=True) if np.frombuffer(got, "<u4").tolist() != ids]
+        assert not wrong
+
+
+def test_long_words_are_not_remembered():
+    codec, counter = Codec(bpe_codec.loaded(WORD)), TokenCounter(_loaded(BYTE))
+    texts = ["q" * 3000 + " end", "b64" * 50 + "é" * 90]
+    codec.encode(texts), counter.counts(texts)
+    assert codec.ids and max(map(len, codec.ids)) <= bpe_codec.REMEMBERED_CHARS
+    assert counter.known and max(map(len, counter.known)) <= token_counts.REMEMBERED_CHARS
+    words = WordHash(10)
+    words.array([b"x" * 65, b"short"])
+    assert list(words) == [b"short"]
+
+
 def test_pair_index_applies_a_sooner_pair_first():
     # merging b+c makes a pair of a lower rank; it goes before the other places of b+c
     names = ["a", "b", "c", "bc", "abc"]
@@ -194,6 +221,72 @@ def test_language_of_held_out_texts(spark):
     assert language_id.learn(d.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))).langs == []
 
 
+def brute_grams(text):
+    """Of each n-gram the number, by plain strings; named by the same packing, which orders ties."""
+    s = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", text.lower(), flags=re.S)
+    s = " " + " ".join(s.split()) + " "
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            g = s[i : i + n]
+            if " " not in g[1:-1] and g.strip() and len(s) > 2:
+                out[sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(g))] += 1
+    return out
+
+
+def brute_ranks(counts, most):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+@pytest.mark.parametrize("piece", [language_id.PIECE, 7])
+def test_grams_by_brute_force(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rnd = random.Random(9)
+    texts = ["", "a", "1 2", "Añb c'est  l'été\n\nq", "x" * 50, "ab1cd_ef"] + ["".join(rnd.choice("abcéñ 1.\n") for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    for t in texts:
+        keys, counts = language_id.gram_counts(t)
+        want = brute_grams(t)
+        assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+        for most in (5, 300):
+            assert language_id.ranked(keys, counts, most).tolist() == brute_ranks(want, most)
+
+
+def test_language_query_by_brute_force(spark, tmp_path):
+    """The registered query on a small table: learning, folds and predictions by plain Python."""
+    import zlib
+
+    from branchspark.llm import queries
+
+    rnd = random.Random(11)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "éabxy  "}
+    rows = [(i, "".join(rnd.choice(alphabets[x]) for _ in range(rnd.randint(0, 80))), x) for i in range(240) for x in [rnd.choice(list(alphabets))]]
+    rows += [(None, "abc", "aa"), (500, None, "bb"), (501, "12 !", "cc"), (502, "abc abc", None), (3, "xxyy", "cc"), (3, "xxyy", "cc")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    learned = {}
+    for i, t, x in rows:
+        if not held(i) and t is not None and x is not None:
+            learned.setdefault(x, Counter()).update(brute_grams(t))
+    profiles = {x: brute_ranks(c, language_id.PROFILE) for x, c in learned.items()}
+    want = []
+    for i, t, _ in rows:
+        top = brute_ranks(brute_grams(t or ""), language_id.PROFILE)
+        if not top:
+            want.append((i, held(i), "und", 0.0))
+            continue
+        far = {x: sum(abs(p.index(g) - k) if g in p else language_id.PROFILE for k, g in enumerate(top)) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((i, held(i), best, 1 - far[best] / (language_id.PROFILE * len(top))))
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], r["score"]) for r in queries.op7_language_id(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(spark.createDataFrame([(i, "abc", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+
+
 def test_rank_distance_by_brute_force():
     profiles = {"a": np.array([5, 3, 9], np.uint64), "b": np.array([9, 5], np.uint64)}
     p = language_id.Profiles(profiles)
