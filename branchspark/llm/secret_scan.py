@@ -1,10 +1,12 @@
 """Operator 4, secret scans, in SQL functions only.
 
 Three patterns find known kinds of secrets. Beside them, candidate strings (runs of a
-character class) are scanned with a sliding window: counts change by the one character that
-enters and the one that leaves, so the sum of c * log2(c) over the window's characters follows
-by two table lookups a step, in whole millionths of a bit; the window of the highest Shannon
-entropy decides. An allow-list takes candidates out first. Everything is one narrow projection.
+character class) are scanned with a sliding window: the counts of the class's characters are kept
+from step to step and change by the one character that enters and the one that leaves, so the sum
+of c * log2(c) over the window's characters follows by lookups in a table, in whole millionths of a
+bit; the window of the highest Shannon entropy decides. An allow-list takes candidates out first.
+Everything is one narrow projection, whose work grows with a text's length and n * log(n) of its n
+matches.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 WIDTH = 20
 #: Character classes: kind, pattern of a candidate, least entropy of its best window in millionths of a bit a character.
 CLASSES = [("entropy_hex", r"[0-9A-Fa-f]{20,}", 3_000_000), ("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", 3_800_000)]
+#: All characters of the classes.
+ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
+#: Counts kept in one number, and the bits of each.
+PER_WORD, BITS = 12, 5
 #: Candidates that are no secrets: words, numbers, UUIDs, alphabets, placeholders, paths of words; and for the second class what is of the first.
 ALLOW = r"^[A-Za-z_=-]+$|^[0-9_=-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|0123456789|abcdefghij|ABCDEFGHIJ|[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[cC][hH][aA][nN][gG][eE][mM][eE]|[xX]{8}|^/?([A-Za-z]+[/_-])+[A-Za-z]+$"
 #: Where a candidate is cut for `scan` by pieces, and pieces that are no secrets: of one case, camel case, numbers.
@@ -33,46 +39,58 @@ TERMS = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WIDTH + 1)]
 _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine) -> Column:
+    """The running totals of an array under an associative function, in log2(n) passes over it."""
+    powers = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda p: p < F.size(values))
+    return F.aggregate(powers, values, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, combine(x, F.element_at(acc, i - p + 1))).otherwise(x)))
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, found, part): the leftmost non-overlapping matches, in code points.
     The pieces between the matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    rows = F.arrays_zip(gaps.alias("gap"), found.alias("found"), part.alias("part"))
-    begin = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,end:int,found:string,part:string>>").alias("all"))
 
-    def step(acc, x):
-        start = acc["to"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["found"])
-        return F.struct(end.alias("to"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"), x["part"].alias("part")))).alias("all"))
+    def placed(found):
+        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        sizes = F.zip_with(gaps, found, lambda g, x: F.char_length(g) + F.char_length(x))
+        rows = F.arrays_zip(_let(sizes, lambda n: _running(n, lambda x, y: x + y)).alias("end"), found.alias("found"), part.alias("part"))
+        return F.transform(rows, lambda x: F.struct((x["end"] - F.char_length(x["found"])).alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["part"].alias("part")))
 
     none = F.array().cast("array<struct<start:int,end:int,found:string,part:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(rows, begin, step)["all"]).otherwise(none)
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
 def best_entropy(candidate: Column) -> Column:
-    """The highest entropy of a window of WIDTH characters, times WIDTH, in millionths."""
-    chars = F.split(candidate, "")
+    """The highest entropy of a window of WIDTH characters, times WIDTH, in millionths. The counts of
+    the window's characters are the fold's state, PER_WORD of them in each number of an array."""
     terms = F.array(*(F.lit(t).cast("long") for t in TERMS))
     term = lambda c: F.element_at(terms, c + 1)
+    words = -(-len(ALPHABET) // PER_WORD)
+    ones = F.array(*(F.lit(1 << BITS * k).cast("long") for k in range(PER_WORD)))
+
+    def folded(codes):
+        word = lambda c: F.floor(c / PER_WORD).cast("int")
+        one = lambda c: F.element_at(ones, c % PER_WORD + 1)
+        count = lambda counts, c: F.call_function("shiftright", F.element_at(counts, word(c) + 1), (c % PER_WORD) * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+        def step(acc, i):
+            full = i > WIDTH
+            enters, leaves = F.element_at(codes, i), F.element_at(codes, F.greatest(i - WIDTH, F.lit(1)))
+            less = F.when(full, count(acc["counts"], leaves)).otherwise(0)
+            had = count(acc["counts"], enters) - F.when(full & (enters == leaves), 1).otherwise(0)
+            counts = F.transform(acc["counts"], lambda w, k: w + F.when(k == word(enters), one(enters)).otherwise(0) - F.when(full & (k == word(leaves)), one(leaves)).otherwise(0))
+            total = acc["sum"] + F.when(full, term(less - 1) - term(less)).otherwise(0) + term(had + 1) - term(had)
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= WIDTH, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
 
-    def step(acc, i):
-        # the window that ends before character i: it loses its first character if it is full
-        first = F.greatest(i - WIDTH, F.lit(1))
-        before = F.slice(chars, first, i - first)
-        full = i > WIDTH
-        leaves, enters = F.element_at(chars, first), F.element_at(chars, i)
-        held = F.size(before) - F.size(F.array_remove(before, leaves))
-        less = F.when(full, term(held - 1) - term(held)).otherwise(0)
-        rest = F.when(full, F.slice(before, F.lit(2), F.lit(WIDTH - 1))).otherwise(before)
-        n = F.size(rest) - F.size(F.array_remove(rest, enters))
-        total = acc["sum"] + less + term(n + 1) - term(n)
-        return F.struct(total.alias("sum"), F.when(i >= WIDTH, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+        begin = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 60).cast("long").alias("least"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), begin, step, lambda acc: F.lit(TERMS[WIDTH]).cast("long") - acc["least"])
 
-    big = 1 << 60
-    folded = F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(big).cast("long").alias("least")), step)
-    return F.lit(TERMS[WIDTH]).cast("long") - folded["least"]
+    return _let(F.transform(F.split(candidate, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1), folded)
 
 
 def _spans(found: Column, kind: str, keep) -> Column:
@@ -127,14 +145,15 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     """Scanned docs (see `scan`) with each run of overlapping spans replaced by `mark`; a text
     without spans, or null, stays as it is."""
     source = F.col(text)
-    begin = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        apart = x["start"] >= acc["to"]
-        gap = F.concat(F.substring(source, acc["to"] + 1, x["start"] - acc["to"]), F.lit(mark))
-        return F.struct(F.greatest(acc["to"], x["end"]).alias("to"), F.concat(acc["out"], F.when(apart, gap).otherwise("")).alias("out"))
+    def pieces(chars, upto):
+        part = lambda a, z: F.array_join(F.slice(chars, a + 1, z - a), "")
+        before = lambda i: F.when(i > 0, F.element_at(upto, i)).otherwise(0)
+        shown = F.transform("spans", lambda x, i: F.when(x["start"] >= before(i), F.concat(part(before(i), x["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(shown, ""), part(F.element_at(upto, -1), F.size(chars)))
 
-    done = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(source, acc["to"] + 1, F.char_length(source))))
+    ends = F.transform("spans", lambda x: x["end"])
+    done = _let(F.split(source, ""), lambda chars: _let(_let(ends, lambda e: _running(e, F.greatest)), lambda upto: pieces(chars, upto)))
     return docs.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(source))
 
 
