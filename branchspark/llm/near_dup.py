@@ -3,45 +3,71 @@
 1. One scan turns each text into its set of word shingles: a digest of the set and a signature
    of COORDINATES minwise tokens. Texts with equal sets are one class, held by its smallest id.
 2. TREES independent trees branch the classes: a root branches by one minwise token, a node with
-   more than LEAF classes by two tokens that its path selects (for one node in two, by another two
-   as well). Before it branches, a large node is compared with its smallest member: what is safely alike is
-   linked to that and leaves the node (what is like it is like the smallest member too, by the
-   triangle inequality of the Jaccard distance, so no link is lost), so large groups of near
-   copies end at once. Small nodes are compared exhaustively, by signature.
+   more than LEAF classes by two tokens that its path selects, as many ways as the target recall
+   asks for (`ways_for`). Before it branches, a large node is compared with its smallest member:
+   what is `sure` to be alike leaves the node and is linked to that member, as is all that may be
+   linked to what leaves. Small nodes are compared exhaustively, by signature.
 3. The candidates' connected components are coarse groups. Their members' full sets go to their
-   group once (groups that are too large for a task go as pairs of blocks, so every pair still
-   meets), where links are confirmed on the sets; only a spanning forest of links comes out.
+   group (groups that are too large for a task go as pairs of blocks, so every pair still meets),
+   where links are confirmed on the sets; only a spanning forest of links comes out.
 4. Connected components over the confirmed links give each class its smallest id.
 
-Recall: a pair of similarity s shares a root with probability 1 - (1 - s) ** TREES, which is
-1 - 1e-10 at 0.85 and 12 trees; below a large node a tree keeps it with s ** 2 a way, 1.5 ways on
-average: after two further levels a pair at 0.85 is still together in six trees of ten.
+Recall. Links are confirmed on full sets, so none is wrong; one can be lost in two ways:
+
+* two sets at the threshold agree in fewer than `coarse` of the 128 coordinates: 1e-10 or less at
+  0.85 or 0.80. Equal coordinates obey the triangle inequality (x and y differ in no more
+  coordinates than x and p, and p and y, together), so a pair that reaches `coarse` isn't lost when
+  one of its sets leaves a node and the other stays;
+* no tree keeps them together: they share a root with probability s in each, so all of 12 trees
+  miss a pair at 0.85 with 1e-10, where roots are small. Below roots that are large because
+  many documents share a passage, a tree keeps a pair with a chance that falls slowly by level;
+  the ways are as many as RECALL asks for after DEPTH such levels, for a pair exactly at the
+  threshold that no third document links.
+
+Shingles are hashed (see `common.WordHash`), so sets are equal up to collisions of hashes.
 No pair within a group is ever emitted in full, and no group meets in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchspark.llm.common import WORDS, broadcast_if_small, cut, mix, shingle_hashes, slices
+from branchspark.llm.common import WORDS, broadcast_if_small, cut, join_unique, mix, shingle_hashes, slices
 from branchspark.llm.components import connected_components
 
 COORDINATES, TREES, LEAF = 128, 12, 256
+#: What trees find of pairs at the threshold that large nodes part, and the levels of such nodes.
+RECALL, DEPTH = 0.99, 10
 #: Classes, and bytes of sets, that a block of a coarse group holds.
 BLOCK_CLASSES, BLOCK_BYTES = 2_048, 48 << 20
-#: Shingles hashed at once, and bits of the filter of the second scan (4 MB).
-CHUNK, FILTER_BITS = 200_000, 1 << 25
+#: Shingles hashed at once, and the most bits of the second scan's filter (128 MB; it has 16 for each member).
+CHUNK, FILTER_BITS = 200_000, 1 << 30
 
 _draw = np.random.default_rng(20_240_229)
 _A = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def ways_for(s: float, trees: int, recall: float = RECALL, depth: int = DEPTH) -> float:
+    """How many ways a large node branches, on average, so that `trees` trees keep a pair of
+    similarity s together with probability `recall` through a root and `depth` large nodes. Two sets
+    go one way together with probability s ** 2."""
+    for tenth in range(10, 161):
+        ways, held = tenth / 10, 1.0
+        for _ in range(depth):
+            apart = 1 - s * s * held
+            held = 1 - apart ** int(ways) * (1 - (ways - int(ways)) * (1 - apart))
+        if 1 - (1 - s * held) ** trees >= recall:
+            return ways
+    raise ValueError(f"{trees} trees can't reach a recall of {recall} at a similarity of {s}")
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of the k-word shingles of a text in lower case (A-Z)."""
     return np.unique(shingle_hashes(WORDS.array(text.encode().lower().split()), k)) if text else np.empty(0, np.uint64)
@@ -153,9 +179,10 @@ def _leaf_links(least: int):
     return run
 
 
-def _branch(trees: int, sure: int):
+def _branch(trees: int, sure: int, ways: float):
     """(node, rep, pivot, sig, pivot_sig) to node, rep, pivot, sig, alike (equal coordinates) and the
-    child nodes of what stays: the first two selected tokens name one, for half of the nodes another."""
+    child nodes of what stays: two selected tokens name one, in int(ways) ways, and in one more way
+    for so many of the nodes that it makes up the rest."""
 
     def run(batches):
         free = np.uint64(COORDINATES - trees)
@@ -165,12 +192,12 @@ def _branch(trees: int, sure: int):
             alike = (sig == other).sum(axis=1).astype(np.int32)
             node = b.column(0).to_numpy().astype(np.uint64)
             children = [[] for _ in range(n)]
-            for way in range(2):
+            for way in range(math.ceil(ways)):
                 at = [(trees + (mix(node + np.uint64(1 + 2 * way + i)) % free).astype(np.int64)) for i in range(2)]
-                name = mix(node + np.uint64(10 + way))
+                name = mix(node + np.uint64(100 + way))
                 for c in at:
                     name = mix(name + sig[np.arange(n), c] + (c.astype(np.uint64) << np.uint64(33)))
-                goes = (alike < sure) & ((mix(node + np.uint64(20)) % np.uint64(2) == 0) if way else True)
+                goes = (alike < sure) & ((mix(node + np.uint64(200)) % np.uint64(1_000) < (ways - int(ways)) * 1_000) if way >= int(ways) else True)
                 for i in np.flatnonzero(goes).tolist():
                     children[i].append(int(name[i].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(alike), pa.array(children, pa.list_(pa.int64()))], names=["node", "rep", "pivot", "sig", "alike", "children"])
@@ -178,15 +205,21 @@ def _branch(trees: int, sure: int):
     return run
 
 
+def _coarse(t: float) -> int:
+    """Coordinates in which two sets of similarity t agree at least, but for a chance of 1e-10."""
+    return int(COORDINATES * max(0.2, 2 * t - 1.08))
+
+
 def candidates(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(src, dst): links between classes whose signatures make a similarity of percent / 100
     possible, few enough to span each coarse group. reps: (rep, sig, low), one row a class.
 
-    A class that is `sure` like its node's pivot leaves the node; whatever it is linked to lies at
-    least at sure - (1 - t) from the pivot, and is linked to the pivot from 0.1 below that on.
+    A class that agrees with its node's pivot in `sure` coordinates leaves the node. What it agrees
+    with in `coarse` ones agrees with the pivot in to_pivot ones at least, and is linked to that.
     """
     t = percent / 100
-    coarse, sure, to_pivot = int(COORDINATES * max(0.2, 2 * t - 1.08)), int(COORDINATES * (t - 0.1)), int(COORDINATES * max(0.1, 2 * t - 1.2))
+    coarse, sure, ways = _coarse(t), int(COORDINATES * (t - 0.05)), ways_for(t, trees)
+    to_pivot = max(1, sure + coarse - COORDINATES)
     roots = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in range(trees)))
     frontier = reps.select("rep", F.explode(roots).alias("node"))
     # at the roots, ids only: most nodes hold one class and end here
@@ -203,7 +236,7 @@ def candidates(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LE
         if not n:
             break
         near = big.join(broadcast_if_small(pivots, 10 * n), "node").select("node", "rep", "pivot", "sig", "pivot_sig")
-        near = cut(near.mapInArrow(_branch(trees, sure), "node long, rep long, pivot long, sig binary, alike int, children array<long>"), "near")
+        near = cut(near.mapInArrow(_branch(trees, sure, ways), "node long, rep long, pivot long, sig binary, alike int, children array<long>"), "near")
         found.append(near.where((F.col("alike") >= to_pivot) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("src"), F.col("rep").alias("dst")))
         frontier = near.select("rep", "sig", F.explode("children").alias("node"))
         sizes = cut(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sizes")
@@ -216,10 +249,10 @@ def candidates(reps: DataFrame, percent: int, trees: int = TREES, leaf: int = LE
     return out
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+def _filter_bits(ids: DataFrame, size: int) -> np.ndarray:
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
     parts = ids.groupBy(F.floor(bit / 32768).alias("part")).agg(F.bitmap_construct_agg(bit % 32768).alias("bits")).toArrow().to_pylist()
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((size // 32768, 4096), np.uint8)
     for r in parts:  # at most FILTER_BITS / 32768 rows of 4 KB
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
@@ -227,8 +260,10 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
 def _sets_of(docs: DataFrame, members: DataFrame, k: int, text: str, key: str) -> DataFrame:
     """(doc_id, digest, set) of the rows whose key may be a member's: a second scan, so that sets of
-    texts that have no candidate are never stored or shuffled."""
-    shipped = docs.sparkSession.sparkContext.broadcast(_filter_bits(members))
+    most texts that have no candidate are never stored or shuffled. The filter has 16 bits for each member
+    up to FILTER_BITS; beyond some 10 ** 9 members it lets more texts pass, and the join drops them."""
+    size = min(FILTER_BITS, max(1 << 20, 1 << (16 * members.count()).bit_length()))
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter_bits(members, size))
 
     def run(batches):
         bits = shipped.value
@@ -240,13 +275,13 @@ def _sets_of(docs: DataFrame, members: DataFrame, k: int, text: str, key: str) -
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "set"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, digest binary, set binary")
+    return rows.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size))).mapInArrow(run, "doc_id long, digest binary, set binary")
 
 
 def _confirm(percent: int):
     """Searches each block of a coarse group by its confirmed links and gives those that it went
     along. Rows: (component, i, j, rep, low, set), in order."""
-    least = int(COORDINATES * max(0.2, 2 * percent / 100 - 1.08))
+    least = _coarse(percent / 100)
 
     def block(rep, sig, sets):
         size = np.array([len(s) for s in sets])
@@ -329,9 +364,9 @@ def _judged(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     parts = cut(connected_components(links).withColumnRenamed("node", "rep").join(reps.select("rep", "digest", "head"), "rep"), "parts")
     least = parts.groupBy("component").agg(F.min("head").alias("least"))  # several groups may have one smallest id
     named = parts.join(least, "component").select("digest", "least")
-    named = reps.select("digest", "head").join(named, "digest", "left").select("digest", F.coalesce("least", "head").alias("head"))
+    named = cut(reps.select("digest", "head").join(named, "digest", "left").select("digest", F.coalesce("least", "head").alias("head")), "named")
     rows = feat.select("doc_id", "h", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = rows.where("digest is not null").join(named, "digest").select("doc_id", "h", "n", F.col("head.doc_id").alias("component_id"), "head")
+    out = join_unique(rows.where("digest is not null"), named, "digest").select("doc_id", "h", "n", F.col("head.doc_id").alias("component_id"), "head")
     return out.unionByName(rows.where("digest is null").select("doc_id", "h", "n", F.col("doc_id").alias("component_id")), allowMissingColumns=True)
 
 
