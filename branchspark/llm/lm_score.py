@@ -1,4 +1,4 @@
-"""Operator 2, language-model scores: bigram stupid backoff, counted over all documents.
+"""Operator 2, language-model scores: stupid backoff, counted over all documents.
 
     S(w | v) = c(v w) / c(v)          where the corpus has the pair at least MIN_COUNT times
              = BACKOFF * c(w) / N     otherwise (without BACKOFF for a document's first word)
@@ -7,23 +7,26 @@ A document is scored by counts that hold itself, where each of its pairs has at
 MIN_COUNT = 1 no word would ever back off. A count of 2 is a pair that is seen elsewhere or again,
 as with the one occurrence left out. A longer order backs off by one word a step.
 
-Rows are packed to blocks of numpy arrays, so that a word costs a few bytes on the wire instead
-of a row. In two shuffles:
-
-1. Documents are cut into chunks of about CHUNK_WORDS words. A chunk counts its own words and
-   pairs, and sends each distinct one once, with its number, to the part of its hash, which adds
-   up the numbers of all chunks;
-2. the part sends the sums back to the chunks that asked, where documents are scored.
-
-Nothing is hot: however often a word or pair occurs, a part has it at most once a chunk. Parts
-hold about PART_WORDS distinct entries of chunks each, and chunks go to parts by a hash of their
-number. Logarithms are whole millionths, so sums don't depend on their order.
+1. `asked`: documents are cut into chunks of about CHUNK_WORDS words; a chunk's distinct n-grams
+   with their numbers go out as arrays, one row for each hash part that they fall in, so an n-gram
+   costs its hash on the wire and little more. The rows are dealt by part.
+2. Exploded, they are the n-gram table (part, n, gram, chunk, number). Grouped by n-gram they are the
+   count table, and the two are joined where they lie, without another shuffle. However often an
+   n-gram occurs, its part has it at most once a chunk, so no key is hot; both sides spill.
+3. The counts go back as arrays by chunk and are joined to the chunk's documents, whose words
+   name their n-grams by number; there they are scored and summed for each document.
+
+Steps 1 and 3 read the documents once each, so a document that doesn't come straight from files,
+which Spark cuts up alike each time, is stored first. Logarithms are whole millionths, so sums
+don't depend on their order. n-grams are 64-bit hashes over 60-bit word hashes (see
+`common.WordHash`); those that collide add their counts.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WORDS, mix
+from branchspark.llm.common import WORDS, cut, mix
 
 BACKOFF, MIN_COUNT, ORDER = 0.4, 2, 2
 PART_WORDS = CHUNK_WORDS = 1_500_000
-_DOCS = -1  # stands for the part in a chunk's own row
 _HALF = np.uint64(32)
-_PACKED = "to int, part int, chunk long, blob binary"
+#: Fixed value: a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _logs(c: np.ndarray) -> np.ndarray:
@@ -60,42 +63,9 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
 
-def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "part", "chunk", "blob"])
-
-
 def count_words(docs: DataFrame, text: str = "text") -> int:
     """The number of words of all documents."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.encode().split()) for t in b.column(0).to_pylist() if t)], pa.int64())], names=["c"])
-
-    return docs.select(text).mapInArrow(run, "c long").agg(F.sum("c").alias("c")).first()["c"] or 0
-
-
-def _by_part(batches):
-    """(to, [(part, chunk, blob)]) of rows in order of `to`."""
-    now, rows = None, []
-    for b in batches:
-        for to, part, chunk, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if to != now:
-                if rows:
-                    yield now, rows
-                now, rows = to, []
-            rows.append((part, chunk, blob))
-    if rows:
-        yield now, rows
-
-
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("to").sortWithinPartitions("to")
-
-
-def _home(chunk: int, parts: int) -> int:
-    """The part that collects a chunk."""
-    return int(mix(np.array([chunk], np.uint64))[0] % np.uint64(parts))
+    return docs.agg(F.sum(F.regexp_count(F.col(text), F.lit(WORD)).cast("long")).alias("c")).first()["c"] or 0
 
 
 def _pieces(texts: list[np.ndarray], words: int):
@@ -141,64 +111,84 @@ def _counts_of(small: tuple, told: np.ndarray, n: int) -> np.ndarray:
     return counts[at]
 
 
-def _explode(parts: int, keys: int, order: int, chunk_words: int):
-    """Documents to chunks: a row with the chunk's documents, their n-grams by number (see
-    `_named`), and for each part a row of the n-grams that it counts, with their numbers."""
+def _chunks(batches, at: int, chunk_words: int):
+    """(chunk, rows, the words of each): whenever the task runs again, the same. at: the texts' column."""
+    task, number = TaskContext.get().partitionId(), 0
+    for b in batches:
+        every = [_words(t) for t in b.column(at).to_pylist()]
+        for first, end in _pieces(every, chunk_words):
+            yield task << 24 | number, b.slice(first, end - first), every[first:end]
+            number += 1
+
+
+def _grams(texts: list[np.ndarray], order: int):
+    """For each n up to order, the n-grams that end at the words with n - 1 before them, in order."""
+    place = _places(np.array([len(w) for w in texts], np.int64))
+    gram = words = mix(np.concatenate(texts)) if len(texts) else np.empty(0, np.uint64)
+    for n in range(1, order + 1):
+        if n > 1:  # named by the n-gram less its last word, and that
+            gram = np.concatenate((gram[:1], mix(gram[:-1] + mix(words[1:]))))
+        yield gram[place >= n - 1]
+
+
+def _asked(parts: int, order: int, chunk_words: int):
+    """Texts to the n-grams of their chunks: a row for each chunk, n and part."""
 
     def run(batches):
-        task, number = TaskContext.get().partitionId(), 0
-        for b in batches:
-            every = [_words(t) for t in b.column(keys).to_pylist()]
-            for first, end in _pieces(every, chunk_words):
-                chunk = task << 24 | number  # the same whenever the task runs again
-                number += 1
-                texts, some = every[first:end], b.slice(first, end - first)
-                sizes = np.array([len(w) for w in texts], np.int64)
-                info = pa.BufferOutputStream()
-                with pa.ipc.new_stream(info, b.schema.remove(keys)) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays(some.columns[:keys], schema=b.schema.remove(keys)))
-                at, asked, edges = [], [], []
-                words = mix(np.concatenate(texts)) if len(texts) else np.empty(0, np.uint64)
-                del texts
-                place, gram = _places(sizes), words
-                for n in range(1, order + 1):
-                    if n > 1:  # named by the n-gram less its last word, and that
-                        gram = np.concatenate((gram[:1], mix(gram[:-1] + mix(words[1:]))))
-                    small, sent, bounds = _named(gram[place >= n - 1], parts)
-                    at += small
-                    asked += sent
-                    edges.append(bounds)
-                rows = [(_home(chunk, parts), _DOCS, chunk, pickle.dumps((info.getvalue().to_pybytes(), _pack(sizes, *at))))]
-                del at, words, gram
-                for to in range(parts):
-                    if any(e[to] < e[to + 1] for e in edges):
-                        rows.append((to, to, chunk, _pack(*(asked[k][edges[k // 2][to] : edges[k // 2][to + 1]] for k in range(2 * order)))))
-                yield _batch(rows)
+        for chunk, _, texts in _chunks(batches, 0, chunk_words):
+            for n, gram in enumerate(_grams(texts, order), 1):
+                _, (grams, numbers), bounds = _named(gram, parts)
+                has = np.flatnonzero(np.diff(bounds))
+                edges = pa.array(np.append(np.array(bounds)[has], len(grams)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (grams.view(np.int64), numbers.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(np.full(len(has), chunk)), pa.array(np.full(len(has), n, np.int32)), *lists], names=["part", "chunk", "n", "grams", "numbers"])
 
     return run
 
 
-def _count(parts: int, order: int):
-    """Each part adds up the numbers of its n-grams and answers every chunk that has them."""
+def _listed(parts: int, order: int, chunk_words: int, keys: int):
+    """Documents to chunks: a row with the chunk's documents (without texts), and their n-grams by number."""
 
     def run(batches):
-        for _, rows in _by_part(batches):
-            out = [(_home(chunk, parts), part, chunk, blob) for part, chunk, blob in rows if part == _DOCS]
-            asks = [(part, chunk, _unpack(blob)) for part, chunk, blob in rows if part != _DOCS]
-            answers = [[] for _ in asks]
-            for n in range(order if asks else 0):
-                _, i = np.unique(np.concatenate([a[2 * n] for *_, a in asks]), return_inverse=True)
-                total = np.zeros(int(i.max()) + 1 if len(i) else 0, np.int64)
-                np.add.at(total, i, np.concatenate([a[2 * n + 1].astype(np.int64) for *_, a in asks]))
-                cuts = np.cumsum([len(a[2 * n]) for *_, a in asks])[:-1]
-                for k, mine in enumerate(np.split(i, cuts)):
-                    answers[k].append(total[mine])
-            out += [(_home(chunk, parts), part, chunk, _pack(*found)) for (part, chunk, _), found in zip(asks, answers, strict=True)]
-            yield _batch(out)
+        for chunk, rows, texts in _chunks(batches, keys, chunk_words):
+            at = [x for gram in _grams(texts, order) for x in _named(gram, parts)[0]]
+            sizes = pa.array([len(w) for w in texts], pa.int64())
+            docs = pa.StructArray.from_arrays([*rows.columns[:keys], sizes], fields=[*(rows.schema.field(i) for i in range(keys)), pa.field("n_words", pa.int64(), False)])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([_pack(*at)], pa.binary())], names=["chunk", "docs", "at"])
 
     return run
 
 
+def dealt(asked: DataFrame, parts: int) -> DataFrame:
+    """asked by part. Its keys are never null; said here, it is said alike on both sides of the join
+    in `counted`, which then read one shuffle."""
+    return asked.where("part is not null and chunk is not null and n is not null").repartition(parts, "part")
+
+
+def counted(asked: DataFrame) -> DataFrame:
+    """(chunk, n, part, counts): of each n-gram that a chunk has, in its order there, how often all have it.
+    asked: (part, chunk, n, grams, numbers)."""
+    rows = asked.select("part", "chunk", "n", F.posexplode(F.arrays_zip("grams", "numbers")).alias("place", "g"))
+    rows = rows.select("part", "chunk", "n", "place", F.col("g.grams").alias("gram"), F.col("g.numbers").alias("number"))
+    # the first chunk is of no use but that both sides then read the same columns, so the same shuffle
+    table = rows.groupBy("part", "n", "gram").agg(F.sum("number").alias("c"), F.min("chunk").alias("first"), F.min("place").alias("least"))
+    found = rows.join(table, ["part", "n", "gram"]).where("number <= c and first <= chunk and least <= place")
+    told = F.sort_array(F.collect_list(F.struct("place", "c")))
+    return found.groupBy("part", "chunk", "n").agg(F.transform(told, lambda x: x["c"]).alias("counts"))
+
+
+@contextmanager
+def _joined_where_they_lie(spark):
+    """Rows that are dealt by one of a join's keys are dealt well enough for it."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _scores(sizes: np.ndarray, small: list[np.ndarray], told: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
     """Back-offs and summed logarithms of each text of a chunk. small: three arrays (see `_named`)
     for each n, of the n-grams that end at the words that have n - 1 before them."""
@@ -221,29 +211,31 @@ def _scores(sizes: np.ndarray, small: list[np.ndarray], told: list[np.ndarray],
     return add(backed), add(value)
 
 
-def _collected(order: int, total: int):
-    """The rows of each chunk's documents with their sums."""
+def _scored(order: int, total: int):
+    """Chunks with their counts (docs, at, told) to their documents with the sums."""
 
     def run(batches):
-        for _, rows in _by_part(batches):
-            answers: dict[int, list] = {}
-            for part, chunk, blob in rows:
-                if part != _DOCS:
-                    answers.setdefault(chunk, []).append((part, blob))
-            for part, chunk, blob in rows:
-                if part == _DOCS:
-                    info, packed = pickle.loads(blob)
-                    sizes, *small = _unpack(packed)
-                    sizes = sizes.astype(np.int64)
-                    told = [_unpack(x) for _, x in sorted(answers.pop(chunk, []))]
-                    counts = [np.concatenate([np.empty(0, np.int64), *(t[n].astype(np.int64) for t in told)]) for n in range(order)]
-                    backed, score = _scores(sizes, small, counts, total)
-                    for b in pa.ipc.open_stream(info):
-                        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(backed), pa.array(score)], names=[*b.schema.names, "n_words", "n_backoff", "score_micros"])
+        for b in batches:
+            for i in range(len(b)):
+                docs, told = b.column(0)[i].values, b.column(2)[i].values
+                counts = [np.empty(0, np.int64)] * order
+                if told is not None:
+                    n = told.field("n").to_numpy()
+                    for k in range(order):
+                        counts[k] = told.filter(pa.array(n == k + 1)).field("counts").flatten().to_numpy()
+                sizes = docs.field("n_words").to_numpy()
+                backed, score = _scores(sizes, _unpack(b.column(1)[i].as_py()), counts, total)
+                yield pa.RecordBatch.from_arrays([*docs.flatten(), pa.array(backed), pa.array(score)], names=[*(f.name for f in docs.type), "n_backoff", "score_micros"])
 
     return run
 
 
+def _cut_up_alike(docs: DataFrame) -> bool:
+    """Whether docs are rows of files, chosen and projected: Spark then deals them alike each time."""
+    lines = docs._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    return bool(docs.inputFiles()) and all(line.lstrip(" :+-").startswith(("Project ", "Filter ", "Relation ")) for line in lines)
+
+
 def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS, chunk_words: int = CHUNK_WORDS, order: int = ORDER) -> DataFrame:
     """docs without text, with n_words, n_backoff (words whose pair, or longest n-gram of up to
     `order` words, was too rare) and score_micros,
@@ -253,12 +245,18 @@ def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS,
     repeat count each and are scored each; keys may be null; an empty table gives an empty one.
     Columns of docs with these names are replaced.
     """
-    new = ["n_words", "n_backoff", "score_micros"]
+    spark, new = docs.sparkSession, ["n_words", "n_backoff", "score_micros"]
     rest = [c for c in docs.columns if c not in new and c != text]
     docs = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text))
-    schema = T.StructType([*docs.drop(text).schema, *(T.StructField(n, T.LongType(), False) for n in new)])
+    if not _cut_up_alike(docs):
+        docs = cut(docs, "documents")
+    fields = [*docs.drop(text).schema, *(T.StructField(n, T.LongType(), False) for n in new)]
     total = count_words(docs, text)
     parts = max(1, -(-total // part_words))
-    packed = docs.mapInArrow(_explode(parts, len(rest), order, chunk_words), _PACKED)
-    counted = _dealt(packed).mapInArrow(_count(parts, order), _PACKED)
-    return _dealt(counted).mapInArrow(_collected(order, total), schema)
+    asked = docs.select(text).mapInArrow(_asked(parts, order, chunk_words), "part int, chunk long, n int, grams array<long>, numbers array<int>")
+    with _joined_where_they_lie(spark):
+        counts = cut(counted(dealt(asked, parts)), "counts")
+    listed = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(T.StructType(fields[:-2]))), T.StructField("at", T.BinaryType())])
+    chunks = docs.mapInArrow(_listed(parts, order, chunk_words, len(rest)), listed).repartition(parts, "chunk")
+    told = counts.repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "part", "counts"))).alias("told"))
+    return chunks.join(told, "chunk", "left").select("docs", "at", "told").mapInArrow(_scored(order, total), T.StructType(fields))
