@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -139,6 +140,36 @@ def test_secrets(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_a_very_long_text(spark):
+    """A text of a megabyte that is full of matches, and one long run: the work must not be quadratic."""
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice("abcdefghABCDEFGHIJKLMNOPqrstuvwxyz0123456789") for _ in range(n))
+    many = "é ".join(f"token={key(14)} {rnd.randrange(1 << 80):020x} 😀" for _ in range(20_000))
+    texts = [many, key(300_000), "ab12" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    began = time.monotonic()
+    rows = secret_scan.redact(secret_scan.scan(df.withColumn("old", F.col("text")))).withColumn("s", secret_scan.listed(F.col("spans"))).collect()
+    assert time.monotonic() - began < 120
+    rank = {k: i for i, k in enumerate(secret_scan.KINDS)}
+    for r in rows:
+        t = texts[r["doc_id"]]
+        every = brute_secrets(t) + [x for x in (brute_entropy(t) if r["doc_id"] == 0 else [("entropy_base64", 0, 300_000)] if r["doc_id"] == 1 else [])]
+        every.sort(key=lambda x: (x[1], rank[x[0]]))
+        assert r["s"] == ",".join(f"{k}:{a}:{z}" for k, a, z in every)
+        want, to = [], 0
+        for _, a, z in every:
+            if a >= to:
+                want += [t[to:a], "[SECRET]"]
+            to = max(to, z)
+        assert r["text"] == ("".join(want) + t[to:] if every else t)
+
+
+@pytest.mark.parametrize("text", ["q8Zr2Lx9Wv4Tn7Bk1Mc5Yd3", "a" * 20, "ab" * 15, "0123456789abcdefABCD-=+/_" * 3, "zzzzzzzzzzzzzzzzzzzzQ" * 2])
+def test_best_entropy_by_brute_force(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(secret_scan.best_entropy(F.col("t")).alias("e")).first()["e"]
+    assert got == max(secret_scan.TERMS[20] - sum(secret_scan.TERMS[w.count(c)] for c in set(w)) for w in (text[i : i + 20] for i in range(len(text) - 19)))
+
+
 def test_stage_redacts_secrets_beside_harmless_words(spark):
     key, letters = "q8Zr2Lx9Wv4Tn7Bk1Mc5Yd3", "qZrLxWvTnBkMcYdPsHgJfR"
     secret = [f"example_dsn={key}", f"docs/example/{key}", f"placeholder{key}", f"{key}-changeme", f"abcdefghij{key}", f"{key}0123456789", f"xxxxxxxx{key}", letters, f"/words/{letters}/more"]

@@ -132,20 +132,37 @@ def test_lm_parts_are_bounded_whatever_a_pair_repeats(monkeypatch, text):
         partitionId = staticmethod(lambda: 3)
 
     monkeypatch.setattr(lm_score.TaskContext, "get", staticmethod(Task))
-    parts, rows = 8, 400
-    batches = [pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array([f"{text} {text}"] * rows)], names=["doc_id", "text"]) for _ in range(20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{text} {text}"] * 400)], names=["text"]) for _ in range(20)]
     entries = Counter()
-    for b in lm_score._explode(parts, 1, 2, 10**6)(batches):
-        for to, part, blob in zip(*(b.column(n).to_pylist() for n in ("to", "part", "blob")), strict=True):
-            if part != lm_score._DOCS:
-                entries[to] += sum(len(a) for a in lm_score._unpack(blob)[::2])
+    for b in lm_score._asked(8, 2, 10**6)(batches):
+        for part, grams in zip(*(b.column(n).to_pylist() for n in ("part", "grams")), strict=True):
+            entries[part] += len(grams)
     assert max(entries.values()) <= 20 * 4
 
 
-def test_lm_chunks_spread_over_parts():
-    # chunk = task << 24 | number: the low bits are those of the number alone
-    homes = Counter(lm_score._home(task << 24 | number, 64) for task in range(640) for number in range(2))
-    assert len(homes) == 64 and max(homes.values()) < 60
+def test_lm_plan_joins_where_the_rows_lie(spark):
+    """One shuffle feeds the n-gram table, the count table and their join."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    asked = df.mapInArrow(lm_score._asked(4, 2, 1000), "part int, chunk long, n int, grams array<long>, numbers array<int>")
+    with lm_score._joined_where_they_lie(spark):
+        found = lm_score.counted(lm_score.dealt(asked, 4))
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")]
+    assert len(re.findall(r"- Exchange hashpartitioning", plan)) == 1 and "ReusedExchange" in plan
+    assert re.search("(SortMerge|ShuffledHash|BroadcastHash)Join", plan) and "Generate posexplode" in plan
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_lm_documents_that_are_not_files_are_stored_first(spark):
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id > 3").select("doc_id", "text")
+    assert lm_score._cut_up_alike(files) and not lm_score._cut_up_alike(files.repartition(3))
+    assert not lm_score._cut_up_alike(files.distinct()) and not lm_score._cut_up_alike(spark.createDataFrame([("a",)], "text string"))
+
+
+def test_words_are_counted_alike(spark):
+    df = spark.createDataFrame([(t,) for t in EDGES + odd_texts(300)], "text string")
+    assert lm_score.count_words(df) == sum(len(t.encode().split()) for t in EDGES + odd_texts(300) if t)
 
 
 @pytest.mark.parametrize("chunk_words", [1, 50])
