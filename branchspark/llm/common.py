@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,14 @@ def join_unique(rows: DataFrame, named: DataFrame, key: str, how: str = "inner",
     return rows.join(hot, key, "left_semi").join(told, key, how).unionByName(rows.join(hot, key, "left_anti").join(named, key, how))
 
 
+def aside(docs: DataFrame, taken) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns that have one of the `taken` names under others, and what gives a frame made
+    from it the columns of docs again."""
+    named = {c: f"__aside_{i}" if c in taken else c for i, c in enumerate(docs.columns)}
+    of = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*(of(c).alias(n) for c, n in named.items())), lambda out: out.select(*(of(n).alias(c) for c, n in named.items()))
+
+
 class WordHash(dict):
     """word (bytes) -> first 60 bits of its MD5, remembered up to a bound (long words never).
 
@@ -77,6 +88,31 @@ class WordHash(dict):
 WORDS = WordHash()
 
 
+def word_hashes(split: list[list[bytes]]) -> list[np.ndarray]:
+    """64-bit hashes (SipHash) of the words of each list. Of a billion distinct words some two share one
+    with a chance of about 3 %, and then count as one word."""
+    every = np.empty(sum(map(len, split)), object)
+    every[:] = list(chain.from_iterable(split))
+    return np.split(hash_array(every, categorize=False), np.cumsum([len(w) for w in split])[:-1]) if split else []
+
+
+def hashed_words(texts, split, chars: int = 2_000_000):
+    """The word hashes of each text (null: none), cut by split; about `chars` characters are cut up at once."""
+    todo, size = [], 0
+    for t in texts:
+        todo.append(split(t) if t else [])
+        size += len(t or "")
+        if size >= chars:
+            yield from word_hashes(todo)
+            todo, size = [], 0
+    yield from word_hashes(todo)
+
+
+def lower_words(text: str) -> list[bytes]:
+    """The words of a text in lower case (A-Z), which ASCII white space parts."""
+    return text.encode().lower().split()
+
+
 def slices(batches, rows: int = 1_000):
     """Record batches in smaller ones, without a copy: what a task holds beside them stays small."""
     for b in batches:
@@ -107,4 +143,4 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WORDS", "WordHash", "ascii_lower", "broadcast_if_small", "cut", "join_unique", "mix", "scratch_path", "shingle_hashes", "slices", "table"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "BROADCAST_ROWS", "WORDS", "WordHash", "ascii_lower", "aside", "broadcast_if_small", "cut", "hashed_words", "join_unique", "lower_words", "mix", "scratch_path", "shingle_hashes", "slices", "table", "word_hashes"]

@@ -12,14 +12,15 @@ as with the one occurrence left out. A longer order backs off by one word a step
    costs its hash on the wire and little more. The rows are dealt by part.
 2. Exploded, they are the n-gram table (part, n, gram, chunk, number). Grouped by n-gram they are the
    count table, and the two are joined where they lie, without another shuffle. However often an
-   n-gram occurs, its part has it at most once a chunk, so no key is hot; both sides spill.
+   n-gram occurs, its part has it at most once a chunk, so no key is hot; a part's count table is
+   what a task holds, which PART_WORDS bounds.
 3. The counts go back as arrays by chunk and are joined to the chunk's documents, whose words
    name their n-grams by number; there they are scored and summed for each document.
 
 Steps 1 and 3 read the documents once each, so a document that doesn't come straight from files,
 which Spark cuts up alike each time, is stored first. Logarithms are whole millionths, so sums
-don't depend on their order. n-grams are 64-bit hashes over 60-bit word hashes (see
-`common.WordHash`); those that collide add their counts.
+don't depend on their order. Words and n-grams are 64-bit hashes: of a billion distinct ones some
+two collide with a chance of about 3 %, and then add their counts.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WORDS, cut, mix
+from branchspark.llm.common import cut, hashed_words, lower_words, mix, slices
 
 BACKOFF, MIN_COUNT, ORDER = 0.4, 2, 2
-PART_WORDS = CHUNK_WORDS = 1_500_000
+PART_WORDS, CHUNK_WORDS = 1_000_000, 1_500_000
 _HALF = np.uint64(32)
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,11 +49,6 @@ def _logs(c: np.ndarray) -> np.ndarray:
     return np.rint(np.log(c.astype(np.float64)) * 1e6).astype(np.int64)
 
 
-def _words(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text in lower case (A-Z)."""
-    return WORDS.array(text.encode().lower().split()) if text else np.empty(0, np.uint64)
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     small = [a.astype(np.min_scalar_type(int(a.max()))) if len(a) and a.dtype != np.uint64 and a.min() >= 0 else a for a in arrays]
     raw = pickle.dumps(small, protocol=5)
@@ -84,19 +80,28 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _named(grams: np.ndarray, parts: int) -> tuple[tuple, tuple, list[int]]:
-    """Grams in small (which are new, the others' numbers among the new, the new ones' parts), and
-    the distinct ones with their counts by part, in order of their first place, with the parts' bounds."""
-    found, first, i, c = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+def _parts_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    return (((grams >> _HALF) * np.uint64(parts)) >> _HALF).astype(np.int64)
+
+
+def _distinct(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The distinct grams with their numbers by part, in order of their first place, and the parts' bounds."""
+    found, first, numbers = np.unique(grams, return_index=True, return_counts=True)
+    bounds = np.searchsorted(_parts_of(found, parts), np.arange(parts + 1))  # found is in order of parts, too
+    part = np.repeat(np.arange(parts), np.diff(bounds))
+    sent = np.argsort(part * (len(grams) + 1) + first)
+    return found[sent], numbers[sent], bounds.tolist()
+
+
+def _named(grams: np.ndarray, parts: int) -> tuple:
+    """Grams in small: which are new, the others' numbers among the new, the new ones' parts."""
+    found, first, i = np.unique(grams, return_index=True, return_inverse=True)
     by_first = np.argsort(first)
     number = np.empty(len(found), np.int64)
     number[by_first] = np.arange(len(found))
     new = np.zeros(len(grams), bool)
     new[first] = True
-    part = (((found >> _HALF) * np.uint64(parts)) >> _HALF).astype(np.int64)[by_first]
-    by_part = np.argsort(part, kind="stable")
-    sent = by_first[by_part]
-    return (np.packbits(new), number[i][~new], part), (found[sent], c[sent]), np.searchsorted(part[by_part], np.arange(parts + 1)).tolist()
+    return np.packbits(new), number[i[~new]], _parts_of(found[by_first], parts)
 
 
 def _counts_of(small: tuple, told: np.ndarray, n: int) -> np.ndarray:
@@ -114,8 +119,8 @@ def _counts_of(small: tuple, told: np.ndarray, n: int) -> np.ndarray:
 def _chunks(batches, at: int, chunk_words: int):
     """(chunk, rows, the words of each): whenever the task runs again, the same. at: the texts' column."""
     task, number = TaskContext.get().partitionId(), 0
-    for b in batches:
-        every = [_words(t) for t in b.column(at).to_pylist()]
+    for b in slices(batches, 2_500):
+        every = list(hashed_words(b.column(at).to_pylist(), lower_words))
         for first, end in _pieces(every, chunk_words):
             yield task << 24 | number, b.slice(first, end - first), every[first:end]
             number += 1
@@ -137,7 +142,7 @@ def _asked(parts: int, order: int, chunk_words: int):
     def run(batches):
         for chunk, _, texts in _chunks(batches, 0, chunk_words):
             for n, gram in enumerate(_grams(texts, order), 1):
-                _, (grams, numbers), bounds = _named(gram, parts)
+                grams, numbers, bounds = _distinct(gram, parts)
                 has = np.flatnonzero(np.diff(bounds))
                 edges = pa.array(np.append(np.array(bounds)[has], len(grams)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (grams.view(np.int64), numbers.astype(np.int32))]
@@ -151,7 +156,7 @@ def _listed(parts: int, order: int, chunk_words: int, keys: int):
 
     def run(batches):
         for chunk, rows, texts in _chunks(batches, keys, chunk_words):
-            at = [x for gram in _grams(texts, order) for x in _named(gram, parts)[0]]
+            at = [x for gram in _grams(texts, order) for x in _named(gram, parts)]
             sizes = pa.array([len(w) for w in texts], pa.int64())
             docs = pa.StructArray.from_arrays([*rows.columns[:keys], sizes], fields=[*(rows.schema.field(i) for i in range(keys)), pa.field("n_words", pa.int64(), False)])
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([_pack(*at)], pa.binary())], names=["chunk", "docs", "at"])
@@ -172,21 +177,24 @@ def counted(asked: DataFrame) -> DataFrame:
     rows = rows.select("part", "chunk", "n", "place", F.col("g.grams").alias("gram"), F.col("g.numbers").alias("number"))
     # the first chunk is of no use but that both sides then read the same columns, so the same shuffle
     table = rows.groupBy("part", "n", "gram").agg(F.sum("number").alias("c"), F.min("chunk").alias("first"), F.min("place").alias("least"))
-    found = rows.join(table, ["part", "n", "gram"]).where("number <= c and first <= chunk and least <= place")
+    found = rows.join(table.hint("shuffle_hash"), ["part", "n", "gram"]).where("number <= c and first <= chunk and least <= place")
     told = F.sort_array(F.collect_list(F.struct("place", "c")))
     return found.groupBy("part", "chunk", "n").agg(F.transform(told, lambda x: x["c"]).alias("counts"))
 
 
 @contextmanager
 def _joined_where_they_lie(spark):
-    """Rows that are dealt by one of a join's keys are dealt well enough for it."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Rows that are dealt by one of a join's keys are dealt well enough for it, and some thousand chunks
+    may be gathered at once before they are sorted for that."""
+    new = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096"}
+    before = {k: spark.conf.get(k) for k in new}
     try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _scores(sizes: np.ndarray, small: list[np.ndarray], told: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
