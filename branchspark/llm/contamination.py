@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WORDS, broadcast_if_small, cut, shingle_hashes, slices, table
+from branchspark.llm.common import aside, broadcast_if_small, cut, hashed_words, shingle_hashes, slices, table, word_hashes
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the bitmap, 4 MB: more shingles make it less selective, not larger.
@@ -42,7 +42,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
                 w = words_of(text)
                 n = min(window, len(w))
                 out.update((item, tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n)
-            rows = [(i, b" ".join(w).decode(), len(w), [b" ".join(w[j : j + k]).decode() for j in range(len(w) - k + 1)], shingle_hashes(WORDS.array(list(w)), k).astype(np.int64).tolist()) for i, w in sorted(out) for k in (min(shingle, len(w)),)]
+            rows = [(i, b" ".join(w).decode(), len(w), [b" ".join(w[j : j + k]).decode() for j in range(len(w) - k + 1)], shingle_hashes(word_hashes([list(w)])[0], k).astype(np.int64).tolist()) for i, w in sorted(out) for k in (min(shingle, len(w)),)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "window", "n", "shingles", "hashes"])
@@ -73,19 +73,19 @@ def find_runs(docs: DataFrame, bits: np.ndarray, least: dict[int, int], text: st
         bits = shipped.value
         for b in slices(batches):
             counts, runs = [], []
-            for t in b.column(len(rest)).to_pylist():
-                w = words_of(t)
-                counts.append(len(w))
-                found = []
-                h = WORDS.array(w) if least else None
+            texts = b.column(len(rest)).to_pylist()
+            for t, h in zip(texts, hashed_words(texts, words_of), strict=True):
+                counts.append(len(h))
+                found, w = [], None
                 for k, need in least.items():
-                    if len(w) < need:
+                    if len(h) < need:
                         continue
                     s = shingle_hashes(h, k) & np.uint64(BITS - 1)
                     hit = (bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0])).astype(np.int8)))
                     for first, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         if end - first + k - 1 >= need:
+                            w = w or words_of(t)
                             found.append({"start": first, "k": k, "words": b" ".join(w[first : end + k - 1]).decode()})
                 runs.append(found)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(runs, kind)], names=[*rest, "n_words", "runs"])
@@ -147,8 +147,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no window of an item, with the columns of documents."""
+    """The rows that hold no window of an item, with the columns of docs as they were. A row goes by its
+    doc_id and text, so others that share its doc_id stay, and rows that repeat go or stay together."""
     key = F.struct(F.col("doc_id"), F.xxhash64("text"))
     judged = contamination(docs.select("text", key.alias("key")), table(spark, sf_dir, "benchmark"))
-    bad = cut(judged.where("contaminated").select("key").distinct(), "contaminated")
-    return docs.withColumn("__key", key).join(broadcast_if_small(bad.withColumnRenamed("key", "__key")), "__key", "left_anti").select(*docs.columns)
+    bad = cut(judged.where("contaminated").select(F.col("key").alias("__key")).distinct(), "contaminated")
+    rows, back = aside(docs, ("__key",))
+    return back(null_safe(rows.withColumn("__key", key), broadcast_if_small(bad)))
+
+
+def null_safe(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """rows whose __key isn't in bad, null doc_ids being equal."""
+    return rows.join(bad.withColumnRenamed("__key", "__bad"), F.col("__key").eqNullSafe(F.col("__bad")), "left_anti")

@@ -24,7 +24,7 @@ Recall. Links are confirmed on full sets, so none is wrong; one can be lost in t
   the ways are as many as RECALL asks for after DEPTH such levels, for a pair exactly at the
   threshold that no third document links.
 
-Shingles are hashed (see `common.WordHash`), so sets are equal up to collisions of hashes.
+Shingles are hashed (see `common.word_hashes`), so sets are equal up to collisions of hashes.
 No pair within a group is ever emitted in full, and no group meets in one task.
 """
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchspark.llm.common import WORDS, broadcast_if_small, cut, join_unique, mix, shingle_hashes, slices
+from branchspark.llm.common import aside, broadcast_if_small, cut, hashed_words, join_unique, lower_words, mix, shingle_hashes, slices
 from branchspark.llm.components import connected_components
 
 COORDINATES, TREES, LEAF = 128, 12, 256
@@ -68,9 +68,9 @@ def ways_for(s: float, trees: int, recall: float = RECALL, depth: int = DEPTH) -
     raise ValueError(f"{trees} trees can't reach a recall of {recall} at a similarity of {s}")
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The sorted distinct hashes of the k-word shingles of a text in lower case (A-Z)."""
-    return np.unique(shingle_hashes(WORDS.array(text.encode().lower().split()), k)) if text else np.empty(0, np.uint64)
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of the k-word shingles of each text in lower case (A-Z)."""
+    return [np.unique(shingle_hashes(h, k)) for h in hashed_words(texts, lower_words)]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -96,7 +96,7 @@ def features(docs: DataFrame, k: int, text: str = "text", key: str = "doc_id") -
 
     def run(batches):
         for b in slices(batches):
-            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
+            sets = shingle_sets(b.column(1).to_pylist(), k)
             sigs = signatures(sets)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in sigs], pa.binary())], names=["doc_id", "h", "n", "digest", "sig", "low"])
@@ -271,7 +271,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, k: int, text: str, key: str) -
             at = b.column(2).to_numpy()
             hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             texts = b.column(1).take(pa.array(hit)).to_pylist()
-            sets = [shingle_set(t, k) for t in texts]
+            sets = shingle_sets(texts, k)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit)), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "set"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -377,10 +377,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = cut(_judged(docs).where("head is not null").select(F.struct("doc_id", "h").alias("__key"), "head"), "judged")
     gone = cut(judged.where("__key <> head").select("__key").distinct(), "gone")
     again = cut(judged.where("__key = head").groupBy("__key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__key"), "again")
-    left = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")))
+    rows, back = aside(docs, ("__key",))
+    left = rows.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")))
     left = left.join(broadcast_if_small(gone), "__key", "left_anti")
     n = again.count()
     if n:  # equal rows
         again = broadcast_if_small(again, n)
         left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
-    return left.select(*docs.columns)
+    return back(left)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchspark.llm.common import WORDS, slices, table
+from branchspark.llm.common import WORDS, aside, slices, table
 
 BUCKETS = 1 << 16
 #: Trusted documents are labelled with quality 1; at most so many, those whose id has the smallest MD5.
@@ -30,6 +30,7 @@ TARGET_BOUND = 20_000
 THRESHOLD = -400_000
 SMOOTHING = 1.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_micros"]
 
 _tokens = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[!-/:-@\[-^`{-~]+").findall
 _symbols = re.compile(rb"[#*$%&|<>]").findall
@@ -119,7 +120,7 @@ def judge(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: i
     each; a null key passes through; without trusted documents all weights are 0 and only the
     base rules decide. Columns of docs with these names are replaced.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_micros"]
+    new = COUNTS
     rest = [c for c in docs.columns if c not in (*new, "base_failed", "kept")]
     docs = docs.select(*(F.col(f"`{c}`") for c in rest))
     schema = T.StructType([*docs.schema, *(T.StructField(n, T.LongType(), False) for n in new)])
@@ -140,6 +141,8 @@ def judge(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: i
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass, with the columns of documents."""
+    """The rows that pass, with the columns of docs as they were. Each row is judged by its own text, so
+    rows without doc_id are judged as well, and rows that repeat go or stay together."""
     weights = fit(docs, target_ids(table(spark, sf_dir, "labels")))
-    return judge(docs, weights).where("kept").select(*docs.columns)
+    rows, back = aside(docs, (*COUNTS, "base_failed", "kept"))
+    return back(judge(rows, weights).where("kept"))

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from branchspark.llm.common import aside
+
 #: Kind, pattern, group whose length counts (0: all of it), least length. Kinds are listed in this order.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of 18 or 16 characters is what the longest match of at least as many is: nothing shorter takes any of it.
@@ -158,6 +160,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets redacted and n_chars as it is then."""
-    clean = redact(scan(docs, pieces=True))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All rows, with their secrets redacted and n_chars as it is then, other columns as they were. Rows
+    without doc_id or text, and rows that repeat, stand for themselves."""
+    rows, back = aside(docs, ("base_spans", "spans"))
+    clean = redact(scan(rows, pieces=True))
+    return back(clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))))
