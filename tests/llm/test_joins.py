@@ -219,6 +219,40 @@ def test_near_duplicates(spark, monkeypatch, k, percent, leaf, block):
     assert near_dup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_ways_reach_the_recall():
+    for s in (0.8, 0.85, 0.95):
+        ways, held = near_dup.ways_for(s, near_dup.TREES), 1.0
+        for _ in range(near_dup.DEPTH):  # the chance that a tree still has the pair, by cases
+            once = s * s * held
+            held = sum(p * (1 - (1 - once) ** n) for n, p in ((int(ways), 1 - ways % 1), (int(ways) + 1, ways % 1)))
+        assert 1 - (1 - s * held) ** near_dup.TREES >= near_dup.RECALL - 1e-9
+    with pytest.raises(ValueError, match="recall"):
+        near_dup.ways_for(0.2, 2)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_in_large_nodes(spark, percent):
+    """All documents share a passage, so most roots hold hundreds of classes; each has one partner a little over the threshold."""
+    rnd = random.Random(percent)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(450):
+        own = [word() for _ in range(70)]
+        rows.append((2 * i, " ".join(passage + own)))
+        rows.append((2 * i + 1, " ".join(passage + own[: len(own) - (11 if percent == 85 else 15)] + [word() for _ in range(8 if percent == 85 else 12)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    reps = near_dup.features(df, 3).select(F.col("doc_id").alias("rep"), "sig", "low")
+    roots = reps.select(F.explode(F.array(*(F.struct(F.lit(k), F.substring("sig", 4 * k + 1, 4)) for k in range(near_dup.TREES)))).alias("r")).groupBy("r").count()
+    assert roots.where(f"count > {near_dup.LEAF}").count() >= 3  # nodes above the default leaf
+    sets = [set(s.tolist()) for s in near_dup.shingle_sets([t for _, t in rows], 3)]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert len(links) > 300
+    part = groups(links, range(len(rows)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 3, percent).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    assert found >= 0.99 * len(links) and all(part[got[i]] == part[i] for i in got)
+
+
 def test_near_duplicate_stage_with_repeated_ids(spark):
     say = lambda seed, n=60: " ".join(f"w{random.Random(seed * 1000 + i).randrange(9**9)}" for i in range(n))
     a, b, c, d = (say(i) for i in range(4))
@@ -387,6 +421,81 @@ def test_pipeline_by_brute_force(spark):
     assert all(r["n_tokens"] * 4 == len(r["token_ids"]) for r in out.values())
 
 
+def odd_documents(spark):
+    """Rows with repeated and null ids, ties, empty and long texts, and columns named as the stages name theirs."""
+    rnd = random.Random(12)
+    say = lambda n: " ".join(rnd.choice(["river", "stone", "garden", "window", "letter", "music"]) + str(rnd.randrange(300)) for _ in range(n))
+    item = say(14)
+    texts = [say(80) for _ in range(12)]
+    texts += [texts[0] + " tail", texts[1], item + " " + say(70), f"{say(60)} token=abcdefgh12345678 {say(20)}", f"{say(60)} {item} {say(10)}", say(4000), "", None, "short one", "same " * 80]
+    rows = [(i % 9 if i % 5 else None, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 3 + [(None, texts[4])] * 2 + [(7, texts[16]), (7, say(90)), (40, texts[15])]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t) if t is not None else None, k, "x", "y", "z", f"n{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, __key int, spans string, kept string, `row` string, n_words string")
+    return docs, spark.createDataFrame([(1, item), (2, None), (None, say(12))], "item_id long, text string"), spark.createDataFrame([(i, 1) for i in range(9)] + [(None, 1)], "doc_id long, quality int")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    from branchspark.llm import queries
+
+    docs, bench, labels = odd_documents(spark)
+    for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    d, stages = str(tmp_path), dict(corpus_pipeline.STAGES)
+    read = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    every = read(docs)
+    one = spark.createDataFrame(stages["quality_rules"](spark, docs, d).collect(), docs.schema)
+    assert one.columns == docs.columns and set(read(one)) <= set(every)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    said = con.sql(f"select r, kept from ({queries.OP6_SQL.replace('select doc_id, coalesce(n_words', 'select r, coalesce(n_words')})").fetchall()
+    order = [r[0] for r in con.sql("select __key from (select row_number() over () as r, * from documents) order by r").fetchall()]
+    assert sorted(r[5] for r in read(one)) == sorted(order[r - 1] for r, kept in said if kept)
+
+    two = spark.createDataFrame(stages["near_duplicates"](spark, one, d).collect(), docs.schema)
+    assert two.columns == docs.columns and set(read(two)) <= set(read(one))
+    texts = [(r[0], r[1]) for r in read(one)]
+    part = {}
+    for i, _, c in brute_near(texts, 5, 80):
+        part.setdefault(c, 0)
+    assert sum(1 for r in read(two) if r[0] is None) == sum(1 for i, _ in texts if i is None)  # rows without an id stay
+    left = [(r[0], r[1]) for r in read(two) if r[0] is not None]
+    assert len(left) == len({x for x in left})  # of equal rows one stays
+    clean = [c for _, _, c in brute_near(left, 5, 80)]
+    assert len(clean) == len(left) and len({(c) for c in clean if c is not None}) <= len(left)
+    sets = near_dup.shingle_sets([t for _, t in left], 5)
+    assert not [1 for a, b in itertools.combinations(sets, 2) if len(a) and len(b) and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))]  # no two near ones are left
+    gone = [(i, t) for i, t in texts if i is not None and (i, t) not in left]
+    for x in near_dup.shingle_sets([t for _, t in gone], 5):  # what went has a near one that stayed
+        assert any(100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)) for y in sets)
+
+    three = spark.createDataFrame(stages["decontamination"](spark, two, d).collect(), docs.schema)
+    rows = read(two)
+    hit = brute_contamination([r[1] for r in rows], [(1, bench.first()["text"])])
+    assert read(three) == sorted((r for r, x in zip(rows, hit, strict=True) if not x[3]), key=repr) and any(x[3] for x in hit)
+
+    four = spark.createDataFrame(stages["secret_scan"](spark, three, d).collect(), docs.schema)
+    safe = {r[5]: r for r in read(four)}
+    assert set(safe) == {r[5] for r in read(three)}
+    for r in read(three):
+        assert safe[r[5]][:1] + safe[r[5]][2:4] + safe[r[5]][5:] == r[:1] + r[2:4] + r[5:]
+        assert safe[r[5]][1] == r[1] if not brute_secrets(r[1]) else "[SECRET]" in safe[r[5]][1] and safe[r[5]][4] == len(safe[r[5]][1])
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.no_truncation()
+    out = stages["bpe_codec"](spark, four, d).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in out), key=repr) == sorted(((r[0], len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in safe.values()), key=repr)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs, bench, labels = odd_documents(spark)
+    for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+        df.limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+
+
 def test_last_stage_decodes(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["The cat sat.", None, "", "ΑΣ Straße it's 1234"]
