@@ -8,8 +8,8 @@
    what is `sure` to be alike leaves the node and is linked to that member, as is all that may be
    linked to what leaves. Small nodes are compared exhaustively, by signature.
 3. The candidates' connected components are coarse groups. Their members' full sets go to their
-   group (groups that are too large for a task go as pairs of blocks, so every pair still meets),
-   where links are confirmed on the sets; only a spanning forest of links comes out.
+   group, where links are confirmed on the sets; groups that are too large for a task are searched
+   in parts (see `_large_groups`). Only a spanning forest of links comes out.
 4. Connected components over the confirmed links give each class its smallest id.
 
 Recall. Links are confirmed on full sets, so none is wrong; one can be lost in two ways:
@@ -44,7 +44,7 @@ from branchspark.llm.components import connected_components
 COORDINATES, TREES, LEAF = 128, 12, 256
 #: What trees find of pairs at the threshold that large nodes part, and the levels of such nodes.
 RECALL, DEPTH = 0.99, 10
-#: Classes, and bytes of sets, that a block of a coarse group holds.
+#: Classes, and bytes of sets, of a coarse group that a task holds, or of a block of a larger one.
 BLOCK_CLASSES, BLOCK_BYTES = 2_048, 48 << 20
 #: Shingles hashed at once, and the most bits of the second scan's filter (128 MB; it has 16 for each member).
 CHUNK, FILTER_BITS = 200_000, 1 << 30
@@ -278,64 +278,154 @@ def _sets_of(docs: DataFrame, members: DataFrame, k: int, text: str, key: str) -
     return rows.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size))).mapInArrow(run, "doc_id long, digest binary, set binary")
 
 
+class _Sets:
+    """Sets laid out to count what one of them shares with many."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        self.starts = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+        tokens, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mine = np.zeros(len(tokens), bool)
+
+    def linked(self, p: int, some: np.ndarray, percent: int) -> np.ndarray:
+        """Those of `some` that are linked to p."""
+        own = self.flat[self.starts[p] : self.starts[p] + self.size[p]]
+        self.mine[own] = True
+        if len(some) > 200:  # the shingles that p has of every set, at once
+            common = np.add.reduceat(self.mine[self.flat], self.starts, dtype=np.int64)[some]
+        else:
+            common = np.array([np.count_nonzero(self.mine[self.flat[self.starts[x] : self.starts[x] + self.size[x]]]) for x in some.tolist()], np.int64)
+        self.mine[own] = False
+        return some[100 * common >= percent * (self.size[p] + self.size[some] - common)]
+
+    def fit(self, p: int, some: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+        """Those of `some` that may be linked to p by their sizes and signatures."""
+        size = self.size
+        return some[(100 * np.minimum(size[some], size[p]) >= percent * np.maximum(size[some], size[p])) & ((sig[some] == sig[p]).sum(axis=1) >= _coarse(percent / 100))]
+
+
+def _arrays(column) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), np.uint64) for s in column]
+
+
+def _cut_up(t: pa.Table, keys: int):
+    """(first, last + 1) of each group of a table of whole groups."""
+    named = np.stack([t.column(i).to_numpy() for i in range(keys)])
+    cuts = [0, *(np.flatnonzero((named[:, 1:] != named[:, :-1]).any(axis=0)) + 1).tolist(), len(t)]
+    return zip(cuts, cuts[1:], strict=False)
+
+
 def _confirm(percent: int):
-    """Searches each block of a coarse group by its confirmed links and gives those that it went
-    along. Rows: (component, i, j, rep, low, set), in order."""
-    least = _coarse(percent / 100)
-
-    def block(rep, sig, sets):
-        size = np.array([len(s) for s in sets])
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        mine = np.zeros(len(tokens), bool)
+    """Searches each group by its confirmed links and gives those that it went along. Rows: (component,
+    rep, low, set), in order."""
+
+    def group(rep, sig, sets):
         left, links = np.arange(len(rep)), []
         while len(left):
             stack, left = [int(left[0])], left[1:]
             while stack and len(left):
                 p = stack.pop()
-                fits = (100 * np.minimum(size[left], size[p]) >= percent * np.maximum(size[left], size[p])) & ((sig[left] == sig[p]).sum(axis=1) >= least)
-                some = left[fits]
-                if not len(some):
-                    continue
-                own = flat[starts[p] : starts[p] + size[p]]
-                mine[own] = True
-                if len(some) > 200:  # the shingles that p has of every set, at once
-                    common = np.add.reduceat(mine[flat], starts, dtype=np.int64)[some]
-                else:
-                    common = np.array([np.count_nonzero(mine[flat[starts[x] : starts[x] + size[x]]]) for x in some.tolist()])
-                mine[own] = False
-                linked = some[100 * common >= percent * (size[p] + size[some] - common)]
-                links += [(int(rep[p]), int(rep[x])) for x in linked]
-                stack += linked.tolist()
-                left = left[~np.isin(left, linked, assume_unique=True)]
+                some = sets.fit(p, left, sig, percent)
+                if len(some):
+                    linked = sets.linked(p, some, percent)
+                    links += [(int(rep[p]), int(rep[x])) for x in linked]
+                    stack += linked.tolist()
+                    left = left[~np.isin(left, linked, assume_unique=True)]
         return links
 
     def run(batches):
-        for t in _groups(batches, 3):
-            keys = np.stack([t.column(i).to_numpy() for i in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(t)]
-            rep, sig = t.column(3).to_numpy(), _bytes_of(t.column(4))
-            sets = t.column(5)
-            for a, z in zip(cuts, cuts[1:], strict=False):
+        for t in _groups(batches, 1):
+            rep, sig = t.column(1).to_numpy(), _bytes_of(t.column(2))
+            for a, z in _cut_up(t, 1):
                 if z - a > 1:
-                    yield _edges(block(rep[a:z], sig[a:z], [np.frombuffer(s.as_buffer(), np.uint64) for s in sets.slice(a, z - a)]))
+                    yield _edges(group(rep[a:z], sig[a:z], _Sets(_arrays(t.column(3).slice(a, z - a)))))
 
     return run
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, coarse: DataFrame, k: int, percent: int, text: str, key: str) -> DataFrame:
-    """(src, dst): confirmed links that span each group. coarse: (node, component)."""
-    members = cut(reps.join(broadcast_if_small(coarse.withColumnRenamed("node", "rep")), "rep").select("rep", "component", "doc_id", "digest", "n", "low"), "members")
+def _star(percent: int):
+    """(rep, pivot, set, pivot_set) to rep, pivot and whether they are linked."""
+
+    def run(batches):
+        for b in batches:
+            linked = []
+            for mine, other in zip(_arrays(b.column(2)), _arrays(b.column(3)), strict=True):
+                common = len(np.intersect1d(mine, other, assume_unique=True))
+                linked.append(100 * common >= percent * (len(mine) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["rep", "pivot", "linked"])
+
+    return run
+
+
+def _against(percent: int):
+    """Links between the asking and the other classes of each pair of blocks. Rows: (node, i, j, other, rep,
+    low, set), in order; those with other = 0 ask."""
+
+    def run(batches):
+        for t in _groups(batches, 3):
+            other, rep, sig = t.column(3).to_numpy(), t.column(4).to_numpy(), _bytes_of(t.column(5))
+            for a, z in _cut_up(t, 3):
+                asking = int((other[a:z] == 0).sum())
+                if not asking or asking == z - a:
+                    continue
+                sets, links = _Sets(_arrays(t.column(6).slice(a, z - a))), []
+                rest = np.arange(asking, z - a)
+                for p in range(asking):
+                    some = sets.fit(p, rest[rep[a + asking : z] != rep[a + p]], sig[a:z], percent)
+                    if len(some):
+                        links += [(int(rep[a + p]), int(rep[a + x])) for x in sets.linked(p, some, percent)]
+                yield _edges(_forest(links))
+
+    return run
+
+
+def _blocks(number, shingles):
+    return F.greatest(F.ceil(number / BLOCK_CLASSES), F.ceil(shingles * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, coarse: DataFrame, k: int, percent: int, text: str, key: str, trees: int) -> DataFrame:
+    """(src, dst): confirmed links that span each group. coarse: (node, component). A coarse group that fits
+    a task is searched there; of the others see `_large_groups`."""
+    roots = F.array(*(F.substring("sig", 4 * i + 1, 4) for i in range(trees))).alias("roots")
+    members = cut(reps.join(broadcast_if_small(coarse.withColumnRenamed("node", "rep")), "rep").select("rep", "component", "doc_id", "digest", "n", "low", roots), "members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
-    sizes = cut(sizes.select("component", blocks.alias("blocks")), "sizes")
-    placed = members.join(broadcast_if_small(sizes), "component")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = placed.select("component", "rep", "doc_id", "digest", "low", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "doc_id", "digest", "low")
-    sets = _sets_of(docs, members.select("doc_id"), k, text, key).dropDuplicates(["doc_id", "digest"])
-    rows = placed.join(sets, ["doc_id", "digest"]).select("component", "i", "j", "rep", "low", "set")
-    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep").mapInArrow(_confirm(percent), "src long, dst long")
+    large = cut(sizes.where(_blocks(F.col("c"), F.col("shingles")) > 1).select("component"), "large")
+    found = _sets_of(docs, members.select("doc_id"), k, text, key).dropDuplicates(["doc_id", "digest"])
+    sets = members.join(found, ["doc_id", "digest"]).select("component", "rep", "low", "set", "n", "roots")
+    n = large.count()
+    if not n:
+        small = sets
+    else:
+        sets = cut(sets, "sets")
+        small = sets.join(broadcast_if_small(large, n), "component", "left_anti")
+    links = small.select("component", "rep", "low", "set").repartition("component").sortWithinPartitions("component", "rep").mapInArrow(_confirm(percent), "src long, dst long")
+    return links.union(_large_groups(sets.join(broadcast_if_small(large, n), "component", "left_semi"), percent)) if n else links
+
+
+def _large_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): confirmed links that span each of the groups that are too large for a task.
+
+    All of a group are compared with its smallest class; what is linked to that is connected already, so
+    only the others ask for links, among all that share a minwise token with them in one of the trees.
+    Of such nodes the asking classes and all classes meet as pairs of blocks, so a set is sent to a tree
+    once for each block of asking classes: few in a group of near copies, where few ask, and in a chain,
+    whose nodes are small."""
+    pivots = sets.groupBy("component").agg(F.min("rep").alias("rep"))
+    pivots = cut(sets.join(broadcast_if_small(pivots), ["component", "rep"]).select("component", F.col("rep").alias("pivot"), F.col("set").alias("pivot_set")), "pivots")
+    star = join_unique(sets.select("component", "rep", "set"), pivots, "component", wide="pivot_set").select("rep", "pivot", "set", "pivot_set")
+    star = cut(star.mapInArrow(_star(percent), "rep long, pivot long, linked boolean"), "star")
+    asking = star.where("not linked").select("rep", F.lit(True).alias("asks"))
+    nodes = sets.select("component", "rep", "n", F.posexplode("roots").alias("tree", "token")).select("rep", "n", F.xxhash64("component", "tree", "token").alias("node"))
+    nodes = cut(nodes.join(broadcast_if_small(asking), "rep", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "nodes")
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.count_if("asks").alias("a"), F.sum("n").alias("s"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("sa")).where("a > 0 and c > 1")
+    sizes = cut(sizes.select("node", _blocks(F.col("a"), F.col("sa")).alias("rows"), _blocks(F.col("c"), F.col("s")).alias("columns")), "sizes")
+    placed = join_unique(nodes, sizes, "node")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = placed.where("asks").select("node", F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int").alias("i"), upto("columns").alias("j"), F.lit(0).alias("other"), "rep")
+    others = placed.select("node", upto("rows").alias("i"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("columns")).cast("int").alias("j"), F.lit(1).alias("other"), "rep")
+    rows = asked.unionByName(others).join(sets.select("rep", "low", "set"), "rep").select("node", "i", "j", "other", "rep", "low", "set")
+    links = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "other", "rep").mapInArrow(_against(percent), "src long, dst long")
+    return star.where("linked and rep <> pivot").select(F.col("pivot").alias("src"), F.col("rep").alias("dst")).union(links)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", trees: int = TREES, leaf: int = LEAF) -> DataFrame:
@@ -360,7 +450,7 @@ def _judged(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     reps = full.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("head"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("low").alias("low"))
     reps = cut(reps.withColumn("doc_id", F.col("head.doc_id")).withColumn("rep", F.monotonically_increasing_id()), "reps")  # an id of its own, as rows may share a doc_id
     coarse = cut(connected_components(cut(candidates(reps.select("rep", "sig", "low"), percent, trees, leaf), "candidates")), "coarse")
-    links = cut(confirmed(docs, reps.drop("sig", "head"), coarse, k, percent, text, key), "links")
+    links = cut(confirmed(docs, reps.drop("head"), coarse, k, percent, text, key, trees), "links")
     parts = cut(connected_components(links).withColumnRenamed("node", "rep").join(reps.select("rep", "digest", "head"), "rep"), "parts")
     least = parts.groupBy("component").agg(F.min("head").alias("least"))  # several groups may have one smallest id
     named = parts.join(least, "component").select("digest", "least")
