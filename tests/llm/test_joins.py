@@ -196,8 +196,9 @@ def brute_near(rows, k, percent):
     return sorted(((rows[i][0], len(sets[i]), None if rows[i][0] is None else least[part[i]]) for i in range(len(rows))), key=repr)
 
 
-@pytest.mark.parametrize(("k", "percent", "leaf", "block"), [(3, 85, near_dup.LEAF, 2048), (3, 85, 2, 6), (5, 80, 4, 2048)])
+@pytest.mark.parametrize(("k", "percent", "leaf", "block"), [(3, 85, near_dup.LEAF, 2048), (3, 85, 2, 6), (5, 80, 4, 2), (3, 85, 8, 3)])
 def test_near_duplicates(spark, monkeypatch, k, percent, leaf, block):
+    """With blocks of a few classes, nearly all groups are too large for a task."""
     monkeypatch.setattr(near_dup, "BLOCK_CLASSES", block)
     rnd = random.Random(7)
     word = lambda: f"w{rnd.randrange(3000)}"
@@ -219,6 +220,26 @@ def test_near_duplicates(spark, monkeypatch, k, percent, leaf, block):
     assert near_dup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_a_chain_and_a_large_group_are_searched_in_parts(spark, monkeypatch):
+    """Texts that each share most with the next, and copies of one text with edits: how often a set is sent
+    must not grow with the group."""
+    monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 16)
+    rnd = random.Random(21)
+    words = [f"w{rnd.randrange(10**8)}" for _ in range(4000)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 140])) for i in range(300)]  # 0.89 with the next, 0.79 with the one after
+    seed = [f"s{i}" for i in range(400)]
+    for i in range(300, 520):
+        t = list(seed)
+        t[rnd.randrange(len(t))] = f"e{i}"
+        rows.append((i, " ".join(t)))
+    sent = []
+    whole = near_dup._against
+    monkeypatch.setattr(near_dup, "_against", lambda percent: sent.append(percent) or whole(percent))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == {i: 0 if i < 300 else 300 for i in range(520)} and sent
+
+
 def test_ways_reach_the_recall():
     for s in (0.8, 0.85, 0.95):
         ways, held = near_dup.ways_for(s, near_dup.TREES), 1.0
