@@ -116,7 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     n_items, item_ids (sorted as strings) and contaminated.
 
     A null or empty text has no words. An item with fewer words than WINDOW is one window; one
-    without words, text or id has none. Rows that repeat, or share a key, are judged each. Without
+    without words, text or id has none. Rows that repeat, or share a key, are judged each. Texts of any
+    length are judged whole. Of a window's equally rare shingles the smallest is its prefix. Without
     items nothing is hit. Columns of docs with these names are replaced.
     """
     windows = cut(item_windows(benchmark), "windows")

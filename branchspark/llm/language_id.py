@@ -131,7 +131,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     """docs with lang_pred (string) and score (double, 0 to 1) of each whole text.
 
     `und` with score 0 where the text is null, has no letter or nothing was learned. Null keys,
-    repeated rows and empty tables pass through; equal distances go to the first name. Columns
+    repeated rows and empty tables pass through; texts of any length count whole; equal distances go to the first name. Columns
     of docs with these names are replaced; no other column is read.
     """
     new = ["lang_pred", "score"]

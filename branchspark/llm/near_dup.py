@@ -436,7 +436,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     A null text, or one without words, has an empty set and no links; one with fewer than k words
     has its whole sequence as its shingle. A row without doc_id is linked with nothing, has no
     component_id and is kept. Rows that share a doc_id count with the text of each; equal rows are
-    kept alike. An empty table gives an empty one. Other columns of docs aren't read.
+    kept alike. A text of any length counts with all its shingles. An empty table gives an empty one.
+    Other columns of docs aren't read, whatever their names.
     """
     out = _judged(docs, k, percent, text, key, trees, leaf)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -27,6 +27,8 @@ BUCKETS = 1 << 16
 #: Trusted documents are labelled with quality 1; at most so many, those whose id has the smallest MD5.
 TARGET_BOUND = 20_000
 #: Millionths of a natural logarithm for each n-gram: a document that is less like the target than this goes.
+#: Trusted documents of sf0.01 lie above -100_000, those labelled 0 below -1_430_000: it leaves room on the side of
+#: the trusted, as a wrong rejection loses a document.
 THRESHOLD = -400_000
 SMOOTHING = 1.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -117,8 +119,8 @@ def judge(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: i
     llr_micros (long: the mean weight of its n-grams, rounded down; 0 without any) and kept.
 
     Null and empty texts have no words, so base_failed is true. Rows that repeat are judged
-    each; a null key passes through; without trusted documents all weights are 0 and only the
-    base rules decide. Columns of docs with these names are replaced.
+    each; a null key passes through; texts of any length are judged whole; a mean of exactly `threshold`
+    passes; without trusted documents, or rows, all weights are 0 and only the base rules decide. Columns of docs with these names are replaced.
     """
     new = COUNTS
     rest = [c for c in docs.columns if c not in (*new, "base_failed", "kept")]

@@ -121,8 +121,8 @@ def scan(docs: DataFrame, text: str = "text", pieces: bool = False) -> DataFrame
     With pieces, a candidate that the allow-list takes out counts all the same where a piece of it,
     beside the harmless words, is random enough.
 
-    A null or empty text has none. Keys may be null, rows repeat, the table be empty: each row
-    stands for itself. Columns of docs with these names are replaced.
+    A null or empty text has none; one of any length is scanned whole. Keys may be null, rows repeat, the
+    table be empty: each row stands for itself. Spans may overlap; those that begin together go by kind. Columns of docs with these names are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(
