@@ -310,11 +310,14 @@ def test_url_filters(spark):
     assert url_filters.judge(df, []).where("verdict <> 'allow' or rule is not null").count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_url_filters_on_random_link_graphs(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "shared"), [(1, True), (2, True), (3, False)])
+def test_url_filters_on_random_link_graphs(spark, tmp_path, monkeypatch, seed, shared):
     """Pages that link to each other at random: judged by Spark, by the query's SQL, and by hand."""
     import duckdb
 
+    if not shared:  # the way without broadcasts
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+
     from branchspark.llm import queries
 
     rnd = random.Random(seed)
