@@ -27,12 +27,18 @@ STAGES = [
     ("secret_scan", secret_scan.stage),
     ("bpe_codec", bpe_stage),
 ]
+#: Rows of whole texts that cross to Python at once: what the JVM and a Python worker hold of them, twice an executor's cores.
+BATCH_ROWS = 1_000
 #: SQL can't express the encoding; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The rows of the last stage, each stage having worked on all that the one before kept."""
+    """The rows of the last stage, each stage having worked on all that the one before kept. The session
+    is left with Arrow batches of at most BATCH_ROWS rows, as the last stage is yet to run."""
+    batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batches)) <= BATCH_ROWS:
+        spark.conf.set(batches, str(BATCH_ROWS))
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
