@@ -39,7 +39,9 @@ from pyspark.sql import types as T
 from branchspark.llm.common import cut, hashed_words, lower_words, mix, slices
 
 BACKOFF, MIN_COUNT, ORDER = 0.4, 2, 2
-PART_WORDS, CHUNK_WORDS = 1_000_000, 1_500_000
+PART_WORDS, CHUNK_WORDS = 250_000, 1_500_000
+#: Parts that a task has, about: parts fall to tasks by a hash, and several level that out.
+PARTS_A_TASK = 4
 _HALF = np.uint64(32)
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -164,10 +166,10 @@ def _listed(parts: int, order: int, chunk_words: int, keys: int):
     return run
 
 
-def dealt(asked: DataFrame, parts: int) -> DataFrame:
+def dealt(asked: DataFrame, tasks: int) -> DataFrame:
     """asked by part. Its keys are never null; said here, it is said alike on both sides of the join
     in `counted`, which then read one shuffle."""
-    return asked.where("part is not null and chunk is not null and n is not null").repartition(parts, "part")
+    return asked.where("part is not null and chunk is not null and n is not null").repartition(tasks, "part")
 
 
 def counted(asked: DataFrame) -> DataFrame:
@@ -250,8 +252,9 @@ def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS,
     the sum of the logarithms of S in millionths (long).
 
     Null and empty texts, and those of white space only, have no words and a score of 0. Rows that
-    repeat count each and are scored each; keys may be null; an empty table gives an empty one.
-    Columns of docs with these names are replaced.
+    repeat count each and are scored each; keys may be null; an empty table gives an empty one. A text
+    of more words than a chunk is a chunk by itself, and is scored whole. Columns of docs with these
+    names are replaced.
     """
     spark, new = docs.sparkSession, ["n_words", "n_backoff", "score_micros"]
     rest = [c for c in docs.columns if c not in new and c != text]
@@ -261,10 +264,11 @@ def lm_scores(docs: DataFrame, text: str = "text", part_words: int = PART_WORDS,
     fields = [*docs.drop(text).schema, *(T.StructField(n, T.LongType(), False) for n in new)]
     total = count_words(docs, text)
     parts = max(1, -(-total // part_words))
+    tasks = -(-parts // PARTS_A_TASK)
     asked = docs.select(text).mapInArrow(_asked(parts, order, chunk_words), "part int, chunk long, n int, grams array<long>, numbers array<int>")
     with _joined_where_they_lie(spark):
-        counts = cut(counted(dealt(asked, parts)), "counts")
+        counts = cut(counted(dealt(asked, tasks)), "counts")
     listed = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(T.StructType(fields[:-2]))), T.StructField("at", T.BinaryType())])
-    chunks = docs.mapInArrow(_listed(parts, order, chunk_words, len(rest)), listed).repartition(parts, "chunk")
-    told = counts.repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "part", "counts"))).alias("told"))
+    chunks = docs.mapInArrow(_listed(parts, order, chunk_words, len(rest)), listed).repartition(tasks, "chunk")
+    told = counts.repartition(tasks, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "part", "counts"))).alias("told"))
     return chunks.join(told, "chunk", "left").select("docs", "at", "told").mapInArrow(_scored(order, total), T.StructType(fields))
