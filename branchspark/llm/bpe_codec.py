@@ -34,7 +34,9 @@ from branchspark.llm.vocab import Ranks, load
 #: Fixed value: the words of the normalised text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Distinct words indexed at once, words of at most so many characters remembered by a worker, words of texts held at once.
-HELD_WORDS, REMEMBERED, REMEMBERED_CHARS, HELD_PARTS = 40_000, 200_000, 64, 500_000
+HELD_WORDS, REMEMBERED, REMEMBERED_CHARS, HELD_PARTS = 20_000, 140_000, 64, 300_000
+#: `re` tests sets of characters up to this one by a table, others range by range.
+LAST_LOW = "\uffff"
 
 
 def _plain_form(text: str) -> str:
@@ -52,8 +54,8 @@ def _set(chars: set[str]) -> str:
 
 def unicode_differences(tokenizer: Tokenizer) -> dict[str, str]:
     """Where the library's tables aren't Python's, as insides of character sets: letters and numbers
-    that it doesn't take for such or takes besides, and `odd`: all these, characters with another
-    form, and those newer than Unicode 3.2 that take part in compositions."""
+    that it doesn't take for such or takes besides, and `odd` (`odd_high` above LAST_LOW): all these,
+    characters with another form, and those newer than Unicode 3.2 that take part in compositions."""
     known = regex.findall(r"[^\p{Cn}\p{Cs}\p{Co}]", "".join(map(chr, range(0x110000))))
     out, odd = {}, set()
     for name in ("L", "N"):
@@ -75,7 +77,7 @@ def unicode_differences(tokenizer: Tokenizer) -> dict[str, str]:
                 odd.add(c)
             if parts and not parts.startswith("<"):
                 odd.update(chr(int(x, 16)) for x in parts.split() if unicodedata.ucd_3_2_0.category(chr(int(x, 16))) == "Cn")
-    return {**out, "odd": _set(odd)}
+    return {**out, "odd": _set({c for c in odd if c <= LAST_LOW}), "odd_high": _set({c for c in odd if c > LAST_LOW})}
 
 
 @lru_cache(maxsize=4)
@@ -188,14 +190,14 @@ class Codec:
         d = v["differences"]
         sets = {n: rf"[\p{{{n}}}{f'--[{d[n + "-"]}]' if d[n + '-'] else ''}{f'||[{d[n + "+"]}]' if d[n + '+'] else ''}]" for n in "LN"}
         self.find_exactly = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{sets['L']}+|{sets['N']}|(?:(?!{sets['L']}|{sets['N']})\S)+", regex.V1).findall
-        self.odd = re.compile(f"[{d['odd']}]").search if d["odd"] else lambda text: None
+        self.odd, self.high, self.odd_high = (re.compile(f"[{x}]").search if x else lambda text: None for x in (d["odd"], r"\U00010000-\U0010FFFF", d["odd_high"]))
         self.normalizer = Sequence([])
         self.normalizer.__setstate__(v["normalizer"])
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
             return self.find_ascii(text.lower())
-        if self.odd(text):
+        if self.odd(text) or self.high(text) and self.odd_high(text):
             return self.find_exactly(self.normalizer.normalize_str(text))
         return self.find(_plain_form(text))
 
@@ -260,7 +262,7 @@ def _mapped(docs: DataFrame, tokenizer: str, text: str, added: list[tuple[str, T
 
     def run(batches):
         c = codec(shipped.value)
-        for b in slices(batches):
+        for b in slices(batches, 500):
             yield pa.RecordBatch.from_arrays([*b.columns, *make(c, b.column(at).to_pylist())], names=[*rest, *names])
 
     return docs.mapInArrow(run, schema)
@@ -270,7 +272,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "toke
     """docs with `out` (binary): each whole text's token ids as little-endian unsigned 32-bit
     integers, as the word-end BPE of the JSON file `tokenizer` gives them without added tokens.
 
-    Null and empty texts give no ids; null keys, repeated rows and empty tables pass through.
+    Null and empty texts give no ids; null keys, repeated rows and empty tables pass through; texts of
+    any length are encoded whole, in blocks of words.
     A column of docs called `out` is replaced.
     """
     return _mapped(docs, tokenizer, text, [(out, T.BinaryType())], lambda c, t: [pa.array(c.encode(t), pa.binary())])
